@@ -73,7 +73,8 @@ def _fstring_end(s: str, i: int, quote: str) -> int:
     return -1
 
 
-def lex_python(s: str) -> tuple[list, list, list, list]:
+def lex_python(s: str, recover: bool = False, ends: list | None = None) -> tuple[list, list, list, list]:
+    """``recover``: go on after a string that does not end. ``ends`` receives the end offset of every token."""
     T, V, P = [], [], []
     n, i, depth, line_start = len(s), 1 if s[:1] == "\ufeff" else 0, 0, True
     stack = [(0, 0)]
@@ -85,6 +86,8 @@ def lex_python(s: str) -> tuple[list, list, list, list]:
         P.append(at)
 
     while i < n:
+        if ends is not None and len(ends) < len(T):
+            ends.extend([i] * (len(T) - len(ends)))
         if line_start and depth == 0:
             col = alt = 0
             j = i
@@ -147,10 +150,12 @@ def lex_python(s: str) -> tuple[list, list, list, list]:
                 e = x.end() if x else -1
             if e < 0:
                 add("ERR", "string", at)
-                i = n
+                i = max(s.find("\n", i), i) if recover and "\n" in s[i:] else n
             else:
                 add("STRING", None, at)
                 i = e
+    if ends is not None:
+        ends.extend([n] * (len(T) + len(stack) + 2 - len(ends)))
     if T and T[-1] not in ("NEWLINE", "DEDENT", "ERR") and depth == 0:
         add("NEWLINE", None, n)
     if depth == 0:
@@ -174,7 +179,7 @@ _TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _VALUE_END = frozenset(["NAME", "NUMBER", "STRING", ")", "]", "}", "TPL0", "TPLE", "this", "super", "null", "true", "false", "REGEX", "PRIV"])
 
 
-def lex_js(s: str) -> tuple[list, list, list, list]:
+def lex_js(s: str, recover: bool = False, ends: list | None = None) -> tuple[list, list, list, list]:
     T, V, NL, P = [], [], [], []
     n, i, nl = len(s), 1 if s[:1] == "\ufeff" else 0, False
     braces: list[bool] = []  # True: this brace closes a template substitution
@@ -187,6 +192,8 @@ def lex_js(s: str) -> tuple[list, list, list, list]:
         P.append(at)
 
     while i < n:
+        if ends is not None and len(ends) < len(T):
+            ends.append(i)
         m = match(s, i)
         if not m:
             add("ERR", "string" if s[i] in "\"'" else None, i)
@@ -217,7 +224,7 @@ def lex_js(s: str) -> tuple[list, list, list, list]:
                         continue
                 if s.startswith("/*", at):
                     add("ERR", "comment", at)
-                    i = n
+                    i = at + 2 if recover else n
                     continue
             if w == "`" or (w == "}" and braces and braces[-1]):
                 tail = w == "}"
@@ -247,5 +254,7 @@ def lex_js(s: str) -> tuple[list, list, list, list]:
             add({"str": "STRING", "num": "NUMBER", "priv": "PRIV"}[kind], None, at)
         nl = False
     nl = True
+    if ends is not None:
+        ends.extend([n] * (len(T) + 1 - len(ends)))
     add("EOF", None, n)
     return T, V, NL, P
