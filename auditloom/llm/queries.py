@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import function_docs, invalid_files
+from auditloom.llm import function_docs, invalid_files, secrets
 from auditloom.tables import table
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "p2_found": lambda s, d: invalid_files.invalid_files(_chunks(s, d)),
     "p2_rates": lambda s, d: invalid_files.invalid_rates(_chunks(s, d)),
     "p5_found": lambda s, d: function_docs.documented_valid(_chunks(s, d)),
+    "p7_found": lambda s, d: secrets.secret_lines(_chunks(s, d)),
+    "p7_redacted": lambda s, d: secrets.redact(_chunks(s, d)),
     "p5_pairs": lambda s, d: function_docs.function_pairs(_chunks(s, d)),
 }
 
