@@ -63,6 +63,8 @@ PLACEHOLDER = re.compile(
     r"x{4,}|X{4,}|\*{3,}|\.{3,}|^[<\[{(].*[>\]})]$|\$\{|\{\{|\$\(|^\$[A-Za-z_]|%\(|^%[sd]|\{\w*\}|change[_\-]?(?:me|it)|your[_\-]|replace[_\-]?(?:me|with)|placeholder|example|dummy|sample|redacted|masked|from[_\-]env|todo|fixme|not[_\-]?a[_\-]?(?:real|secret)|fake|insert[_\-]|0{8,}|1234567|abcdefg|foobar|test[_\-]?(?:key|token|secret|password)",
     re.I,
 )
+_LINE = re.compile(r"[^\n]+")
+_SIMPLE = re.compile(r"\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`(?:[^`\\\r\n]|\\.)*`")
 _ESC = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
@@ -126,43 +128,11 @@ def candidates(text: str) -> list[tuple[str, str, str, bool]]:
             add(*(m.span(2) if len(v) >= 8 else (m.start(1), m.end())), "url_login", v, ok)
         for m in URL_PARAM.finditer(text):
             add(*m.span(1), "url_parameter", m.group(1), _plain(m.group(1)) and (_random(m.group(1)) or (len(m.group(1)) >= 16 and entropy(m.group(1)) > 3)))
-    # quoted literals, joined over + and over plain adjacency
-    quoted = list(QUOTED.finditer(text))
-    k = 0
-    while k < len(quoted):
-        m = quoted[k]
-        q = 3 if text[m.start() : m.start() + 3] in ('\"\"\"', "'''") else 1
-        a, b = m.start() + q, m.end() - q
-        value, last = text[a:b], k
-        while last + 1 < len(quoted) and re.fullmatch(r"\s*\+\s*", text[quoted[last].end() : quoted[last + 1].start()]):
-            last += 1
-            value += quoted[last].group()[1:-1]
-            b = quoted[last].end() - 1
-        k = last + 1
-        if not 8 <= len(value) <= 4096 or any(x < b and a < y for x, y in taken):
-            continue
-        plain_value = _ESC.sub(lambda m: chr(int(m.group(1), 16)), value)
-        h = HEADER.fullmatch(plain_value)
-        if h:
-            lead = a + len(text[a:b]) - len(re.sub(r"\A(?:Basic|Bearer|Token)\s+", "", text[a:b]))
-            v = h.group(2)
-            add(lead, b, "header", v, _plain(v) and (_basic(v) if h.group(1) == "Basic" else len(v) >= 16 and (bool(JWT.search(v)) or bool(PROVIDER.search(v)) or _random(v))))
-            continue
-        p = PROVIDER.search(plain_value) or JWT.search(plain_value)
-        if p and p.group() == plain_value:
-            add(a, b, "token", plain_value, _plain(plain_value[4:]) and entropy(plain_value) > 3.0)
-            continue
-        if last > k - 1 and p is None and "\n" in value and q == 3:
-            continue
-        n = NAME.search(text, max(0, m.start() - 80), m.start())
-        name = n.group(1) if n else ""
-        if n and n.group().rstrip().endswith(",") and not re.search(r"(?:setdefault|getenv|get|environ)\w*\(\s*[\"']%s[\"']\s*,\s*\Z" % re.escape(name), text[max(0, m.start() - 100) : m.start()]):
-            name = ""
-        if name and CREDENTIAL.search(name) and not NO_CREDENTIAL.search(name):
-            if _random(plain_value):
-                add(a, b, "key", plain_value, _plain(plain_value))
-            elif _password(plain_value):
-                add(a, b, "password", plain_value, _plain(plain_value))
+    _quoted(text, list(QUOTED.finditer(text)), taken, add)
+    # once more line by line: literals in comments, inside longer literals and after an unpaired quote
+    for m in _LINE.finditer(text):
+        if CREDENTIAL.search(m.group()) or "Basic " in m.group() or "Bearer " in m.group():
+            _quoted(text, list(_SIMPLE.finditer(text, m.start(), m.end())), taken, add)
     taken.sort()
     for rx, kind in ((PROVIDER, "token"), (JWT, "token")):
         for m in rx.finditer(text):
@@ -183,6 +153,45 @@ def candidates(text: str) -> list[tuple[str, str, str, bool]]:
     return [c for c in out if len(c[0]) >= 6]
 
 
+def _quoted(text, quoted, taken, add):
+    """Quoted literals, joined over +, judged by their format and by the name that they are given to."""
+    k = 0
+    while k < len(quoted):
+        m = quoted[k]
+        q = 3 if text[m.start() : m.start() + 3] in ('\"\"\"', "'''") else 1
+        a, b = m.start() + q, m.end() - q
+        value, last = text[a:b], k
+        while last + 1 < len(quoted) and re.fullmatch(r"\s*\+\s*", text[quoted[last].end() : quoted[last + 1].start()]):
+            last += 1
+            value += quoted[last].group()[1:-1]
+            b = quoted[last].end() - 1
+        k = last + 1
+        if not 8 <= len(value) <= 4096 or any(x < b and a < y for x, y in taken):
+            continue
+        value = _ESC.sub(lambda m: chr(int(m.group(1), 16)), value)
+        h = HEADER.fullmatch(value)
+        if h:
+            v = h.group(2)
+            lead = a + len(text[a:b]) - len(re.sub(r"\A(?:Basic|Bearer|Token)\s+", "", text[a:b]))
+            add(lead, b, "header", v, _plain(v) and (_basic(v) if h.group(1) == "Basic" else bool(JWT.search(v) or PROVIDER.search(v)) or _random(v)))
+            continue
+        p = PROVIDER.fullmatch(value) or JWT.fullmatch(value)
+        if p:
+            add(a, b, "token", value, _plain(value[4:]) and entropy(value) > 3.0)
+            continue
+        n = NAME.search(text, max(0, m.start() - 80), m.start())
+        if not n:
+            continue
+        name = n.group(1)
+        if n.group().rstrip().endswith(",") and not re.search(r"(?:setdefault|getenv|get|environ)\w*\(\s*[\"']%s[\"']\s*,\s*\Z" % re.escape(name), text[max(0, m.start() - 100) : m.start()]):
+            continue
+        if CREDENTIAL.search(name) and not NO_CREDENTIAL.search(name):
+            if _password(value) and not re.fullmatch(r"[0-9a-f]+|[A-Za-z0-9+/=]{32,}", value):
+                add(a, b, "password", value, _plain(value))
+            elif _random(value):
+                add(a, b, "key", value, _plain(value))
+
+
 _CANDIDATE = T.ArrayType(T.StructType([T.StructField("surface", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("strong", T.BooleanType())]))
 
 
@@ -222,23 +231,25 @@ def scan(chunks: DataFrame, secrets: DataFrame, keep: list[str], block_bytes: in
         if not block:
             continue
         shared = sc.broadcast(block)
-        cache: dict[int, ahocorasick.Automaton] = {}
-
-        def find(content: pd.Series, shared=shared, cache=cache) -> pd.Series:
-            automaton = cache.get(0)
-            if automaton is None:
-                automaton = ahocorasick.Automaton()
-                for surface, kind in shared.value.items():
-                    automaton.add_word(surface, (len(surface), kind))
-                automaton.make_automaton()
-                cache[0] = automaton
-            return pd.Series([[(e + 1 - n, e + 1, kind) for e, (n, kind) in automaton.iter(c)] if c else [] for c in content])
-
-        found = F.pandas_udf(find, _HIT)("content")
-        out = out.withColumn("hits", F.concat("hits", found))
+        out = out.withColumn("hits", F.concat("hits", F.pandas_udf(_finder(shared), _HIT)("content")))
     return out
 
 
+def _finder(shared):
+    """A scan of texts for one broadcast block; each task builds the automaton once."""
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for surface, kind in shared.value.items():
+            automaton.add_word(surface, (len(surface), kind))
+        automaton.make_automaton()
+        for content in batches:
+            yield pd.Series([[(e + 1 - n, e + 1, kind) for e, (n, kind) in automaton.iter(c)] if c else [] for c in content])
+
+    find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return find
+
+
 def _without_overlap(hits) -> list:
     out, at = [], -1
     for h in sorted(hits, key=lambda h: (h["start"], -h["end"])):
