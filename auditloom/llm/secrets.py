@@ -50,7 +50,8 @@ URL_PARAM = re.compile(r"[?&](?:api[_-]?key|key|token|access[_-]?token|auth|secr
 HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/_\-.=~]{12,})")
 QUOTED = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 UNQUOTED = re.compile(r"([A-Za-z_][\w.\-]*)\s*[:=]\s*([^\s\"'`,;(){}\[\]<>$]{8,})\s*(?:[,;#]|$)", re.M)
-NAME = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"']?\s*\]?\s*(?::\s*[\w\[\]<>| ]{1,40})?(?:\?\?=|\|\|=|=>|:=|:|=(?!=)|,)\s*\Z")
+_OPERATOR = r"(?:\?\?=|\|\|=|=>|:=|:|=(?!=)|,)\s*\Z"
+NAMES = (re.compile(r"([A-Za-z_$][\w$.\-]*)[\"']?\s*\]?\s*" + _OPERATOR), re.compile(r"([A-Za-z_$][\w$.\-]*)\??\s*:\s*[\w\[\]<>| ]{1,40}=\s*\Z"))  # plain; with a type
 CREDENTIAL = re.compile(
     r"pass(?:word|wd|phrase|wort|code)?(?![a-z])|passw|passphrase|pwd|(?:^|[_\-.])pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|authkey|private[_\-]?key|signing|hmac|cred|auth|pem|(?:^|[_\-.])key\d*$|passphrase|bearer|session_secret|webhook|dsn",
     re.I,
@@ -179,13 +180,10 @@ def _quoted(text, quoted, taken, add):
         if p:
             add(a, b, "token", value, _plain(value[4:]) and entropy(value) > 3.0)
             continue
-        n = NAME.search(text, max(0, m.start() - 80), m.start())
-        if not n:
+        names = [n for n in (rx.search(text, max(0, m.start() - 80), m.start()) for rx in NAMES) if n]
+        if names and names[0].group().rstrip().endswith(",") and not re.search(r"(?:setdefault|getenv|get|environ)\w*\(\s*[\"'][\w.\-]+[\"']\s*,\s*\Z", text[max(0, m.start() - 100) : m.start()]):
             continue
-        name = n.group(1)
-        if n.group().rstrip().endswith(",") and not re.search(r"(?:setdefault|getenv|get|environ)\w*\(\s*[\"']%s[\"']\s*,\s*\Z" % re.escape(name), text[max(0, m.start() - 100) : m.start()]):
-            continue
-        if CREDENTIAL.search(name) and not NO_CREDENTIAL.search(name):
+        if any(CREDENTIAL.search(n.group(1)) and not NO_CREDENTIAL.search(n.group(1)) for n in names):
             if _password(value) and not re.fullmatch(r"[0-9a-f]+|[A-Za-z0-9+/=]{32,}", value):
                 add(a, b, "password", value, _plain(value))
             elif _random(value):
