@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import function_docs, invalid_files, secrets
+from auditloom.llm import function_docs, invalid_files, leaks, secrets
 from auditloom.tables import table
 
 
@@ -10,13 +10,27 @@ def _chunks(spark, d):
     return table(spark, d, "code_chunks")
 
 
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
 QUERIES = {
     "p2_found": lambda s, d: invalid_files.invalid_files(_chunks(s, d)),
     "p2_rates": lambda s, d: invalid_files.invalid_rates(_chunks(s, d)),
     "p5_found": lambda s, d: function_docs.documented_valid(_chunks(s, d)),
     "p7_found": lambda s, d: secrets.secret_lines(_chunks(s, d)),
     "p7_redacted": lambda s, d: secrets.redact(_chunks(s, d)),
+    "p8_found": lambda s, d: leaks.leaked(_documents(s, d), table(s, d, "eval_items")),
+    "p8_report": lambda s, d: leaks.leak_report(_documents(s, d), table(s, d, "eval_items")),
     "p5_pairs": lambda s, d: function_docs.function_pairs(_chunks(s, d)),
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[\x{AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+ORACLES: dict[str, str] = {
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
+ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS t(k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
