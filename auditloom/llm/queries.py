@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import function_docs, invalid_files, leaks, secrets
+from auditloom.llm import function_docs, invalid_files, leaks, quality, secrets
 from auditloom.tables import table
 
 
@@ -22,6 +22,8 @@ QUERIES = {
     "p7_redacted": lambda s, d: secrets.redact(_chunks(s, d)),
     "p8_found": lambda s, d: leaks.leaked(_documents(s, d), table(s, d, "eval_items")),
     "p8_report": lambda s, d: leaks.leak_report(_documents(s, d), table(s, d, "eval_items")),
+    "p10_found": lambda s, d: quality.text_kinds(_documents(s, d)),
+    "p10_stats": lambda s, d: quality.statistics(_documents(s, d)),
     "p5_pairs": lambda s, d: function_docs.function_pairs(_chunks(s, d)),
 }
 
@@ -33,4 +35,13 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {
 dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
 ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS t(k))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_stats": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM t)
+SELECT doc_id, len(w)::BIGINT AS n_words,
+  round(coalesce(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / nullif(len(w), 0), 0), 6) AS mean_word_length,
+  round(coalesce(length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g'))::DOUBLE / nullif(length(t), 0), 0), 6) AS symbol_ratio,
+  round(coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;][)"'']*\\s*$')))::DOUBLE / nullif(len(l), 0), 0), 6) AS stopped_lines,
+  round(coalesce(len(list_filter(w, lambda x: list_contains([{', '.join(repr(c) for c in sorted(quality.COMMON))}], x)))::DOUBLE / nullif(len(w), 0), 0), 6) AS common_words
+FROM p""",
 }
