@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import function_docs, invalid_files, leaks, quality, secrets
+from auditloom.llm import function_docs, invalid_files, leaks, mixture, quality, secrets, split
 from auditloom.tables import table
 
 
@@ -24,12 +24,17 @@ QUERIES = {
     "p8_report": lambda s, d: leaks.leak_report(_documents(s, d), table(s, d, "eval_items")),
     "p10_found": lambda s, d: quality.text_kinds(_documents(s, d)),
     "p10_stats": lambda s, d: quality.statistics(_documents(s, d)),
+    "p4_found": lambda s, d: split.oversized(_chunks(s, d), table(s, d, "split_limits")),
+    "p4_pieces": lambda s, d: split.pieces(_chunks(s, d), table(s, d, "split_limits")),
+    "p9_mix": lambda s, d: mixture.mixed(_documents(s, d), table(s, d, "mix_targets")),
+    "p9_shares": lambda s, d: mixture.shares(_documents(s, d), table(s, d, "mix_targets")),
     "p5_pairs": lambda s, d: function_docs.function_pairs(_chunks(s, d)),
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[\x{AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 ORACLES: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT chunk_id FROM code_chunks JOIN split_limits USING (chunk_type) WHERE length(content) > max_chars",
     "p8_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
 dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
