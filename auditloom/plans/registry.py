@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from auditloom.plans import problems
+
+QUERIES: dict = {**problems.QUERIES}
+ORACLES: dict[str, str] = {**problems.ORACLES}
