@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import function_docs, invalid_files, leaks, mixture, quality, secrets, split
+from auditloom.llm import function_docs, invalid_files, leaks, mixture, pii, quality, secrets, split
 from auditloom.tables import table
 
 
@@ -14,7 +14,13 @@ def _documents(spark, d):
     return table(spark, d, "documents")
 
 
+def _pii(spark, d):
+    return table(spark, d, "audit_logs"), table(spark, d, "tool_requests")
+
+
 QUERIES = {
+    "p1_found": lambda s, d: pii.found(*_pii(s, d)),
+    "p1_redacted": lambda s, d: pii.redacted(*_pii(s, d)),
     "p2_found": lambda s, d: invalid_files.invalid_files(_chunks(s, d)),
     "p2_rates": lambda s, d: invalid_files.invalid_rates(_chunks(s, d)),
     "p5_found": lambda s, d: function_docs.documented_valid(_chunks(s, d)),
