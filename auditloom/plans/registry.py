@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from auditloom.plans import problems
+from auditloom.plans import audit, problems
 
-QUERIES: dict = {**problems.QUERIES}
-ORACLES: dict[str, str] = {**problems.ORACLES}
+MODULES = (audit, problems)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
