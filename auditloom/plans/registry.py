@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from auditloom.plans import audit, problems
+from auditloom.plans import audit, problems, text
 
-MODULES = (audit, problems)
+MODULES = (audit, text, problems)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
