@@ -1,0 +1,128 @@
+"""Operators on small cases against brute force."""
+
+import random
+from collections import defaultdict
+
+import numpy as np
+from conftest import SMALL, audit_rows
+from pyspark.sql import functions as F
+
+from auditloom.functions import sanitize as S
+from auditloom.functions.definitions import python_definitions, sanitize_json
+from auditloom.operators import audit as A
+from auditloom.operators import behaviour as B
+from auditloom.operators import outliers as O
+from auditloom.operators import retrieval as R
+from auditloom.operators import timeseries as TS
+from auditloom.operators.windows import in_blocks, numbered
+from auditloom.sources import files
+from auditloom.streaming.admission import admission, judge
+from auditloom.tables import table
+
+T0 = 1_514_764_800_000_000
+
+
+def test_positions_and_halo(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["hot"] * 5 + ["a", None]), T0 + rng.randrange(0, 5) * 3_600_000_000 + rng.randrange(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, user_id string, us bigint")
+    order = defaultdict(list)
+    for i, u, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        order[u].append(i)
+    want = {i: k for xs in order.values() for k, i in enumerate(xs)}
+    assert {r.id: r.pos for r in numbered(df, "user_id", "us", "id").collect()} == want
+    blocks = in_blocks(df, "user_id", "us", "id", block=50, halo=7).collect()
+    assert sorted(r.id for r in blocks if r.own) == sorted(want)
+    assert all(50 * r.block - 7 <= r.pos < 50 * r.block for r in blocks if not r.own)
+
+
+def test_features_do_not_depend_on_block_size(spark):
+    calls = A.calls(table(spark, SMALL, "audit_logs"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(B.features(calls)) == key(B.features(calls, block=110))
+
+
+def test_admission_equals_brute_force_over_spans(spark):
+    rng = random.Random(5)
+    rows = [{"id": i, "user_id": rng.choice(["hot", "hot", "b"]), "timestamp": T0 + rng.randrange(0, 3 * 3600) * 1_000_000} for i in range(300)] + [{"id": 999, "user_id": None, "timestamp": T0}]
+    calls = A.calls(audit_rows(spark, rows))
+    want = {}
+    for u in ("hot", "b"):
+        _, out = judge([], [(r["timestamp"], r["id"]) for r in rows if r["user_id"] == u], (2, 9, 20))
+        want |= {i: (ok, why) for i, ok, why in out}
+    for span in (10_000, 100):
+        assert {r.id: (r.admitted, r.denied_by) for r in admission(calls, (2, 9, 20), calls_per_span=span).collect()} == want
+    assert {w for _, w in want.values()} == {None, "minute", "hour", "day"}
+    assert admission(calls.where("false"), (1, 1, 1)).count() == 0
+
+
+def test_sanitising_actions(spark):
+    rows = [("mail a.b@x.org and a.b@x.org, ip 1.2.3.4 in 1.2.3.45", ), ("card 1234 5678 9012 3456", ), (None, ), ("", )]
+    df = spark.createDataFrame(rows, "t string").select(S.applied(F.col("t")).alias("t"))
+    a, b, n, e = [r.t for r in df.collect()]
+    assert "@" not in a and a.count("[HASH:") == 4 and len({x for x in a.split() if x.startswith("[HASH:")}) >= 2
+    assert b == "card 1" + "*" * 17 + "6" and n is None and e == ""
+
+
+def test_nested_json(spark):
+    deep = "[" * 15 + '"x"' + "]" * 15
+    df = spark.createDataFrame([(1, '{"a": [{"b": "SSN 123-45-6789"}], "n": 3}'), (2, "broken { 123-45-6789"), (3, None), (4, deep)], "id bigint, t string")
+    out = {r.id: r.text for r in sanitize_json(df, "id", "t", [(S.RULES[7].pattern, "[SSN]")]).collect()}
+    assert out[1] == '{"a": [{"b": "SSN [SSN]"}], "n": 3}' and out[2] == "broken { [SSN]" and out[3] is None and "MAX_DEPTH" in out[4]
+
+
+def test_definitions(spark):
+    df = spark.createDataFrame([(1, "a.py", "import os\nclass A:\n    def f(self): pass\n"), (2, "b.py", "def broken("), (3, "c.py", None), (4, "d.js", "def f(): pass")], "chunk_id bigint, file_path string, content string")
+    assert sorted((r.chunk_id, r.kind, r.name) for r in python_definitions(df).collect()) == [(1, "class", "A"), (1, "function", "f"), (1, "import", "os")]
+
+
+def test_vector_search_equals_numpy(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(200, 8)).astype("float32")
+    v = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(200)] + [(900, None), (901, [])], "vec_id bigint, embedding array<float>")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for metric in ("ip", "l2"):
+        for i in (0, 50, 100, 150):
+            d = m.astype(float) @ m[i].astype(float) if metric == "ip" else -((m.astype(float) - m[i].astype(float)) ** 2).sum(1)
+            want = sorted(range(200), key=lambda j: (-round(d[j], 6), j))[:5]
+            got = [r.vec_id for r in R.vector_topk(v, q, 5, metric).where(f"query_id = {i}").orderBy("rank").collect()]
+            assert got == want
+    assert R.vector_topk(v, q.where("false"), 5).count() == 0
+
+
+def test_bm25_and_fusion(spark):
+    d = spark.createDataFrame([(1, "parse token stream"), (2, "parseToken"), (3, None), (4, "")], "doc_id bigint, text string")
+    idx = R.postings(d, "doc_id", "text")
+    q = spark.createDataFrame([(7, "token token"), (8, "nothing here"), (9, None)], "query_id bigint, query string")
+    hits = R.bm25(idx, R.corpus(d, "text"), q, "doc_id", 5)
+    assert {(r.query_id, r.doc_id) for r in hits.collect()} == {(7, 1), (7, 2)}
+    fused = R.fuse(hits, hits.where("doc_id = 2").withColumn("rank", F.lit(1)), 5).orderBy("rank").collect()
+    assert [r.doc_id for r in fused] == [2, 1]
+
+
+def test_quantile_interpolates(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in range(1, 101)] + [("b", 5000.0)], "tool string, v double")
+    q = {r.tool: r.value for r in TS.histogram_quantile(TS.cumulative_buckets(df, "v", [10, 50, 100], "tool"), 0.5, "tool").collect()}
+    assert q == {"a": 50.0, "b": 100.0}
+
+
+def test_isolation_finds_the_outlier(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") == 77, 50.0).otherwise(F.randn(1)).alias("a"), F.randn(2).alias("b"))
+    s = O.isolation_scores(df, ["a", "b"], trees=40)
+    assert s.orderBy(F.col("score").desc()).first().id == 77
+    assert O.isolation_scores(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_sources_round_trip(spark, tmp_path):
+    (tmp_path / "src/node_modules").mkdir(parents=True)
+    (tmp_path / "src/a.py").write_text("one\ntwo")
+    (tmp_path / "src/builder.py").write_text("kept")
+    (tmp_path / "src/node_modules/b.py").write_text("x")
+    assert sorted(r.content for r in files.scan_texts(spark, str(tmp_path / "src")).collect()) == ["kept", "one\ntwo"]
+    assert files.list_files(spark, str(tmp_path / "src")).count() == 2
+    calls = A.calls(table(spark, SMALL, "audit_logs")).select("id", "us", "tool")
+    files.archive(calls, str(tmp_path / "arch"))
+    assert spark.read.parquet(str(tmp_path / "arch")).count() == calls.count()
+    files.write_json_lines(calls, str(tmp_path / "j"))
+    files.write_csv(calls, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == spark.read.csv(str(tmp_path / "c"), header=True).count() == calls.count()
