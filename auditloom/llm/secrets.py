@@ -45,11 +45,11 @@ PROVIDER = re.compile(
 )
 JWT = re.compile(r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(.*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|([A-Za-z0-9+/=\s]{20,})\Z)", re.S)
-URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@(?=[A-Za-z0-9\[])")
+URL_LOGIN = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@(?=[A-Za-z0-9\[])")
 URL_PARAM = re.compile(r"[?&](?:api[_-]?key|key|token|access[_-]?token|auth|secret|client_secret|password|pwd|sig|signature)=([A-Za-z0-9_\-.~%+/=]{8,})", re.I)
 HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/_\-.=~]{12,})")
 QUOTED = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-UNQUOTED = re.compile(r"([A-Za-z_][\w.\-]*)\s*[:=]\s*([^\s\"'`,;(){}\[\]<>$]{8,})\s*(?:[,;#]|$)", re.M)
+UNQUOTED = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*)\s*[:=]\s*([^\s\"'`,;(){}\[\]<>$]{8,})\s*(?:[,;#]|$)", re.M)
 _OPERATOR = r"(?:\?\?=|\|\|=|=>|:=|:|=(?!=)|,)\s*\Z"
 NAMES = (re.compile(r"([A-Za-z_$][\w$.\-]*)[\"']?\s*\]?\s*" + _OPERATOR), re.compile(r"([A-Za-z_$][\w$.\-]*)\??\s*:\s*[\w\[\]<>| ]{1,40}=\s*\Z"))  # plain; with a type
 CREDENTIAL = re.compile(

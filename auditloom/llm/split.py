@@ -59,7 +59,7 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[float]]:
                     last += step
                     pos.append(last)
                     cost.append(30.0)
-                if last < g < b:
+                if g < b and g - last >= max(1, limit // 48):  # gaps closer than that are as good as their neighbours
                     pos.append(g)
                     cost.append(12.0)
                     last = g
