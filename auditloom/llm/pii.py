@@ -66,7 +66,7 @@ NAME = re.compile(rf"(?:{_WORD},[ ]{_WORD}(?: [A-Z]\.(?!\w))?|{_WORD},[ ][A-Z]\.
 #: Texts without any of these have no candidates; evaluated inside the JVM.
 PREFILTER = (
     r"[@＠]|%40|\\u(?i:ff20|0040)|[(\[{<]at[)\]}>]| at \S{1,80} dot "
-    r"|\d[\d ().\-]{6,}\d|[A-Z]{1,2} ?-?\d{2}"
+    r"|\d[\d ().\-/]{6,}\d|[A-Z]{1,2} ?-?\d{2}"
     r"|\d[a-z]?,? (?:[A-Z]|rue |bis |avenue |place )|[A-Z][^ ]{0,80},? \d|(?i:box|postfach) \d"
     r"|[A-ZÀ-Ý][^ /|=:]{0,80},? (?:[A-Z]\. ?)?[A-ZÀ-Ý]|[A-Z]\.[A-ZÀ-Ý]"
 )
