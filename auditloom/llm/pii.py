@@ -10,7 +10,7 @@
 The text is read whole, JSON escapes (\\\\n, \\\\uXXXX) are understood, offsets refer to the stored text. ``redact``
 replaces the chosen spans by typed placeholders and leaves everything else as it was.
 
-Defined cases: null and empty texts have no findings and stay as they are; broken JSON is plain text; repeated rows
+Defined cases: null and empty texts have no findings and no row in the result of ``redacted``; broken JSON is plain text; repeated rows
 are cases of their own; ties in score go to the longer, then the earlier span; empty tables give empty results;
 extra columns are ignored.
 """
@@ -553,6 +553,9 @@ def found(audit_logs: DataFrame, tool_requests: DataFrame) -> DataFrame:
     return spans.select("source_table", "record_id", "field", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k") + 1).alias("pii_type"))
 
 
+_ABBREVIATED = re.compile(r"(?i)\b(?:ave|st|rd|blvd|dr|ln|ct|pl|str)\.\Z")
+
+
 @F.pandas_udf(T.StringType())
 def _replace(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
@@ -564,6 +567,8 @@ def _replace(text: pd.Series, spans: pd.Series) -> pd.Series:
         for s in ss:
             parts += [t[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
             at = s["end"]
+            if s["kind"] == 3 and t[at - 1] == "." and not _ABBREVIATED.search(t, s["start"], at):
+                at -= 1  # the stop belongs to the sentence
         out.append("".join(parts) + t[at:])
     return pd.Series(out)
 

@@ -57,6 +57,8 @@ def test_pii_found_and_redacted(spark, requests):
     assert out[("tool_requests", 1, "user_stated_intent")] == "Dr. [NAME] wants the export; call me at [PHONE]"
     clean = out[("audit_logs", 1, "tool_input")]
     assert "doe" not in clean and "123-45" not in clean and clean.endswith("ticket 2014-28-90 is closed") and clean.startswith('{"query": "mail [EMAIL] or [EMAIL]\\nSSN [ID_NUMBER]')
+    stop = pii.redacted(audit_rows(spark, [{"id": 9, "tool_output_sanitized": "lives at 12 Elm Street. See the file."}]), requests.where("false")).first()
+    assert stop.text == "lives at [ADDRESS]. See the file." and stop.n_values == 1
     assert pii.found(logs.where("false"), requests.where("false")).count() == 0
 
 
