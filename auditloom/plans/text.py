@@ -73,6 +73,7 @@ QUERIES = {
     "detect_rules": lambda s, d: chunks(s, d).select("chunk_id", S.detected(F.col("content")).alias("rules")),
     "detect_rules_output": lambda s, d: _outputs(s, d).select("id", S.detected(F.col("text")).alias("rules")),
     "scan_counts": lambda s, d: chunks(s, d).select("chunk_id", *[S.match_count(F.col("content"), r.pattern).cast("bigint").alias(r.name) for r in S.RULES]),
+    "scan_secrets": lambda s, d: chunks(s, d).select("chunk_id", *[S.match_count(F.col("content"), r.pattern).cast("bigint").alias(r.name) for r in S.SCANNER]),
     "redact_rules": lambda s, d: chunks(s, d).select("chunk_id", S.applied(F.col("content"), [r for r in S.RULES if r.action == "redact"]).alias("content")),
     "hash_matches": lambda s, d: _outputs(s, d).select("id", S.hashed(F.col("text"), S.RULES[6].pattern).alias("text")),
     "mask_cards": lambda s, d: _outputs(s, d).select("id", S.masked(F.col("text"), S.RULES[8].pattern).alias("text")),
@@ -151,6 +152,7 @@ ORACLES = {
     "detect_rules": f"SELECT chunk_id, {_DETECT.format('content')} AS rules FROM code_chunks",
     "detect_rules_output": f"SELECT id, {_DETECT.format('tool_output_sanitized')} AS rules FROM audit_logs",
     "scan_counts": "SELECT chunk_id, " + ", ".join(f"coalesce(len(regexp_extract_all(content, '{r.pattern}')), 0) AS {r.name}" for r in S.RULES) + " FROM code_chunks",
+    "scan_secrets": "SELECT chunk_id, " + ", ".join(f"coalesce(len(regexp_extract_all(content, '{r.pattern}')), 0) AS {r.name}" for r in S.SCANNER) + " FROM code_chunks",
     "redact_rules": f"SELECT chunk_id, {_sql_replace('content', [r for r in S.RULES if r.action == 'redact'])} AS content FROM code_chunks",
     "hash_matches": f"SELECT id, {_sql_each('tool_output_sanitized', S.RULES[6].pattern, _HASH)} AS text FROM audit_logs",
     "mask_cards": f"SELECT id, {_sql_each('tool_output_sanitized', S.RULES[8].pattern, _MASK)} AS text FROM audit_logs",
