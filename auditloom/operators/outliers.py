@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.session import written
+
 TREES, SAMPLE = 100, 256
 
 
@@ -38,7 +40,7 @@ def _grow(x: np.ndarray, rng, depth: int, limit: int, nodes: list) -> int:
 
 def isolation_scores(df: DataFrame, columns: list[str], seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """id and anomaly score in (0, 1); higher is more isolated."""
-    clean = df.select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    clean = written(df.select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]), "outliers")  # read for the samples and for the scores
     drawn = clean.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * sample).select(*columns).toPandas().to_numpy()
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
     rng = np.random.default_rng(seed)

@@ -35,7 +35,7 @@ def _wide(s, d):
 
 
 def _iforest(s, d):
-    return O.isolation_scores(feats(s, d, with_entropy=False), [x for x in B.FEATURES if x != "sequence_entropy"])
+    return O.isolation_scores(feats(s, d), list(B.FEATURES))
 
 
 QUERIES = {

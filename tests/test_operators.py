@@ -16,6 +16,7 @@ from auditloom.operators import outliers as O
 from auditloom.operators import retrieval as R
 from auditloom.operators import timeseries as TS
 from auditloom.operators.windows import in_blocks, numbered
+from auditloom.plans.registry import QUERIES
 from auditloom.sources import files
 from auditloom.streaming.admission import admission, judge
 from auditloom.tables import table
@@ -142,6 +143,13 @@ def test_isolation_finds_the_outlier(spark):
     assert O.isolation_scores(df.where("false"), ["a", "b"]).count() == 0
 
 
+def test_iforest_takes_all_features(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(O, "isolation_scores", lambda df, columns: seen.update(df=df.columns, columns=list(columns)))
+    QUERIES["iforest"](spark, SMALL)
+    assert seen["columns"] == list(B.FEATURES) and set(B.FEATURES) <= set(seen["df"])
+
+
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "src/node_modules").mkdir(parents=True)
     (tmp_path / "src/a.py").write_text("one\ntwo")
