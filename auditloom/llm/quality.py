@@ -254,8 +254,12 @@ def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         rows = []
         for doc_id, text in zip(df["doc_id"], df["text"]):
-            for lines in blocks(text) if text else ():
-                rows.append((doc_id, 0 if is_title(lines) else sum(map(len, lines)), *block_statistics(lines)))
+            found = blocks(text) if text else []
+            titles = [is_title(lines) for lines in found]
+            if all(titles):  # nothing else that they could name
+                titles = [False] * len(found)
+            for lines, title in zip(found, titles):
+                rows.append((doc_id, 0 if title else sum(map(len, lines)), *block_statistics(lines)))
         yield pd.DataFrame(rows, columns=_BLOCK.names)
 
 
@@ -355,8 +359,9 @@ def kind_shares(documents: DataFrame, steps: int = EM_STEPS) -> DataFrame:
 def text_kinds(documents: DataFrame, steps: int = EM_STEPS) -> DataFrame:
     """doc_id and text_kind of the documents that are not prose by the larger part of their characters."""
     shares = kind_shares(documents, steps)
-    most = F.greatest(*KINDS, F.lit(0.5))
-    kind = F.when((F.col("prose") == most) | (F.greatest(*KINDS) < most), "prose").when(F.col("list") == most, "list").when(F.col("table") == most, "table").otherwise("junk")
+    other = [F.col(k) for k in KINDS if k != "prose"]
+    most = F.greatest(*other)
+    kind = F.when(F.col("prose") >= sum(other[1:], other[0]), "prose").when(F.col("list") == most, "list").when(F.col("table") == most, "table").otherwise("junk")
     return shares.select("doc_id", kind.alias("text_kind")).where("text_kind <> 'prose'")
 
 

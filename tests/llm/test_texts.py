@@ -232,6 +232,16 @@ def test_text_kinds(spark):
     assert quality.text_kinds(documents(spark, [])).count() == 0
 
 
+def test_kind_by_the_larger_part(spark):
+    entries, noise = "\n".join(f"- entry {i}" for i in range(12)), "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxQUJDREVGR0hJSktMTU5PUF"
+    grid = "name,count,rate\n" + "\n".join(f"row{i},{i * 7},{i / 9:.3f}" for i in range(7))
+    rows = [
+        {"doc_id": 1, "text": f"{PROSE}\n\n{entries}\n{noise}"}, {"doc_id": 2, "text": f"{PROSE}\n\n{grid}\n{noise}"}, {"doc_id": 3, "text": f"{PROSE}\n\n{entries}"}, {"doc_id": 4, "text": noise[:32]}, {"doc_id": 5, "text": f"Short title\n{PROSE}"},
+    ] + [{"doc_id": 100 + i, "text": PROSE.replace("Monday", f"day {i}")} for i in range(40)]
+    kinds = {r.doc_id: r.text_kind for r in quality.text_kinds(documents(spark, rows)).collect()}
+    assert kinds == {1: "list", 2: "table", 4: "junk"}
+
+
 def test_kinds_of_given_documents_are_stable(spark):
     df = table(spark, SMALL, "documents")
     a, b = ({r.doc_id: r.text_kind for r in quality.text_kinds(df, steps=n).collect()} for n in (4, 8))
