@@ -17,6 +17,7 @@ from auditloom.operators import retrieval as R
 from auditloom.operators import timeseries as TS
 from auditloom.operators.windows import in_blocks, numbered
 from auditloom.plans.registry import QUERIES
+from auditloom.plans.text import cache_match
 from auditloom.sources import files
 from auditloom.streaming.admission import admission, judge
 from auditloom.tables import table
@@ -120,6 +121,12 @@ def test_vector_search_equals_numpy(spark):
     assert R.vector_topk(v, q.where("false"), 5).count() == 0
 
 
+def test_cache_match_is_never_the_query_itself(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, -1.0])], "vec_id bigint, embedding array<float>")
+    hits = R.vector_topk(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 2)
+    assert sorted(map(tuple, cache_match(hits).collect())) == [(1, 3, 1.0), (2, 1, 0.8), (3, 1, 1.0), (4, 2, 0.6)]
+
+
 def test_bm25_and_fusion(spark):
     d = spark.createDataFrame([(1, "parse token stream"), (2, "parseToken"), (3, None), (4, "")], "doc_id bigint, text string")
     idx = R.postings(d, "doc_id", "text")
