@@ -7,7 +7,7 @@ column; of it only the prose counts, not the parts that list parameters, returns
 Pairs with fewer than five words of description are dropped. ``function_pairs`` also drops descriptions that
 are templates repeated over the corpus: every description is reduced to a template (identifiers of the function
 name, digits and quoted parts masked), templates are counted by hash over the whole corpus with map-side
-combine, and those with at least ``max_template_share`` of all pairs (and ten of them) go.
+combine, and those that at least ``min_template_count`` (ten) of them share go.
 
 Defined cases: null content has no functions; null path or another extension than py, js, ts: no functions; a
 null docstring column is none; rows repeated under another chunk_id are cases of their own in ``documented``,
@@ -123,13 +123,11 @@ def documented_valid(chunks: DataFrame) -> DataFrame:
     return found.join(bad, on, "left_anti").select("chunk_id", "func_name").distinct()
 
 
-def function_pairs(chunks: DataFrame, max_template_share: float = 0.01, min_template_count: int = 10) -> DataFrame:
-    """Distinct code-description pairs without corpus-repeated description templates."""
+def function_pairs(chunks: DataFrame, min_template_count: int = 10) -> DataFrame:
+    """Distinct code-description pairs without description templates that at least ``min_template_count`` of them share."""
     spaced = F.lower(F.regexp_replace(F.regexp_replace("func_name", r"([a-z0-9])([A-Z])", "$1 $2"), "_", " "))
     d = F.lower(F.col("description"))
     template = F.regexp_replace(F.regexp_replace(F.replace(F.replace(d, F.lower("func_name"), F.lit("~")), spaced, F.lit("~")), r"['\"`][^'\"`]*['\"`]", "~"), r"\d+", "9")
     pairs = documented(chunks).select("func_name", "description", "code").distinct().withColumn("template", F.xxhash64(template))
-    counts = pairs.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    repeated = counts.crossJoin(F.broadcast(total)).where((F.col("n") >= min_template_count) & (F.col("n") >= max_template_share * F.col("all"))).select("template")
+    repeated = pairs.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_template_count).select("template")
     return pairs.join(repeated, "template", "left_anti").select("func_name", "description", "code")

@@ -93,3 +93,12 @@ def test_corpus_repeated_templates_are_dropped(spark):
     many = "".join(f'def load_{i}():\n    """Loads the number {i} of load_{i} from the old store."""\n\n' for i in range(40))
     rows = [{"chunk_id": 1, "repo": "r", "file_path": "a.py", "start_line": 1, "chunk_type": "module", "content": many}, {"chunk_id": 2, "repo": "r", "file_path": "b.py", "start_line": 1, "chunk_type": "module", "content": f'def real():\n    """{GOOD}"""\n'}]
     assert [r.func_name for r in D.function_pairs(chunk_rows(spark, rows)).collect()] == ["real"]
+
+
+def test_repeated_templates_go_in_a_large_corpus(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    many = "".join(f'def load_{i}():\n    """Loads the number {i} of load_{i} from the old store."""\n\n' for i in range(10))
+    other = "".join(f'def f_{word(i)}():\n    """Takes {word(i)} out of {word(i + 3)} and keeps the rest."""\n\n' for i in range(1_200))
+    rows = [{"chunk_id": k, "repo": "r", "file_path": f"{k}.py", "start_line": 1, "chunk_type": "module", "content": c} for k, c in enumerate((many, other))]
+    names = [r.func_name for r in D.function_pairs(chunk_rows(spark, rows)).collect()]
+    assert len(names) == 1_200 and not any(n.startswith("load_") for n in names)
