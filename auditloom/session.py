@@ -27,20 +27,28 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    """The folder in spark.checkpoint.dir. Only a local session may do without: it gets a temporary folder of its own; on a
+    cluster such a folder is not shared, so there an unset option is an error."""
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    root = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or (current.get() if current.isDefined() else None)
     if not root:
-        current = sc._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} is not set: name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not current.isDefined():
         sc.setCheckpointDir(root)
     return root
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; every call gets another one."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder, which is deleted when the application ends."""
+    own = f"{checkpoint_root(spark).rstrip('/')}/auditloom-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
