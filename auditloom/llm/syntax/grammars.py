@@ -228,7 +228,6 @@ LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "json": "js
 
 @lru_cache(None)
 def grammar(language: str) -> Grammar:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     if language == "python":
         return Grammar(PYTHON, words=PY_WORDS)
     if language == "javascript":
@@ -241,14 +240,15 @@ def grammar(language: str) -> Grammar:
 _MARKER = re.compile(r"^(?:<{7}|={7}|>{7})(?: |$|\r)", re.M)
 
 
-def verdict(text: str, language: str) -> tuple[bool, int, str]:
+def verdict(text: str, language: str) -> tuple[bool | None, int, str]:
     """(valid, furthest failure as character offset or -1, cause). Causes: merge_conflict (a conflict marker
-    begins a line at or just before the failure), truncated (the input ends where more is required), too_deep,
-    wrong_language (another of the grammars accepts it whole), syntax."""
+    begins a line at or just before the failure), truncated (the input ends where more is required),
+    wrong_language (another of the grammars accepts it whole), syntax. Valid is None, with cause undecided, where
+    memory did not suffice: a failure of the parser is no finding about the file."""
     try:
         fail = _parse(text, language)
-    except RecursionError:
-        return False, 0, "too_deep"
+    except MemoryError:
+        return None, -1, "undecided"
     if fail is None:
         return True, -1, ""
     at, unterminated = fail
@@ -258,24 +258,41 @@ def verdict(text: str, language: str) -> tuple[bool, int, str]:
     for other in LANGUAGES.values():
         if other != language and (language, other) != ("typescript", "javascript") and text.strip():
             try:
-                if _parse(text, other) is None:
+                if _accepts(text, other):
                     return False, at, "wrong_language"
-            except RecursionError:
+            except MemoryError:
                 pass
     if unterminated or not text[at:].strip():
         return False, at, "truncated"
     return False, at, "syntax"
 
 
-def _parse(text: str, language: str) -> tuple[int, bool] | None:
+FRAMES_PER_CHARACTER = 48  # rules that may be open between two characters of nesting
+
+
+def _ready(text: str, language: str) -> tuple[Grammar, tuple]:
+    """The grammar and what it reads: characters or tokens."""
+    # compiled rules call each other as plain Python functions, whose frames are on the heap: the depth of a text is bounded by its
+    # length and by memory, by nothing else
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + FRAMES_PER_CHARACTER * len(text)))
     g = grammar(language)
     if g.chars:
-        body = text[1:] if text[:1] == "\ufeff" else text
-        f = g.parse(body)
-        return None if f is None else (f[0] + len(text) - len(body), False)
-    T, V, NL, P = (lex_python if language == "python" else lex_js)(text)
-    f = g.parse(T, V, NL)
+        return g, (text[1:] if text[:1] == "\ufeff" else text,)
+    return g, (lex_python if language == "python" else lex_js)(text)
+
+
+def _accepts(text: str, language: str) -> bool:
+    g, read = _ready(text, language)
+    return g.accepts(*read[:3])
+
+
+def _parse(text: str, language: str) -> tuple[int, bool] | None:
+    g, read = _ready(text, language)
+    f = g.parse(*read[:3])
     if f is None:
         return None
+    if g.chars:
+        return f[0] + len(text) - len(read[0]), False
+    T, V, _, P = read
     k = min(f[0], len(T) - 1)
     return P[k], T[k] == "ERR" and V[k] is not None

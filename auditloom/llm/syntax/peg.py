@@ -210,6 +210,9 @@ class Grammar:
             self._emit(x, d, out, track)
             out.append(f"{pad}if p >= 0: p = {s}" if op == "and" else f"{pad}p = {s} if p < 0 else -1")
 
+    def accepts(self, *args) -> bool:
+        return self._plain(*args)[0](0) >= 0
+
     def parse(self, *args):
         rule, _ = self._plain(*args)
         if rule(0) >= 0:

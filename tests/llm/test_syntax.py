@@ -64,8 +64,11 @@ def test_typescript(text, ok):
 
 
 def test_deep_and_long_texts():
-    assert verdict("[" * 300 + "]" * 300, "json")[0]
-    assert verdict("[" * 200_000, "json")[0] is False
+    assert verdict("[" * 100_000 + "]" * 100_000, "json")[0]
+    assert verdict("f(" * 5_000 + ")" * 5_000, "javascript")[0]
+    assert verdict("(" * 20_000 + "1" + ")" * 20_000, "python")[0]
+    assert verdict("x = " + "[" * 20_000 + "]" * 20_000, "toml")[0]
+    assert verdict("[" * 20_000 + "]" * 19_999, "json") == (False, 39_999, "truncated")
     assert verdict("x = 1\n" * 20_000, "python")[0]
 
 
@@ -117,4 +120,10 @@ def test_rows_of_a_file(spark):
     assert {(r.repo, r.file_path) for r in I.invalid_files(df).collect()} == {("r", "b.JSON"), (None, "c.ts"), ("r", "e.toml"), ("r", "f.py"), ("r", "g.json")}
     rates = {(r.repo, r.language): (r.n_files, r.n_invalid) for r in I.invalid_rates(df).collect()}
     assert rates[("r", "python")] == (3, 1) and rates[("r", "json")] == (2, 2)
+    far = [{"chunk_id": 20, "repo": "r", "file_path": "z.py", "content": "x = 1", "start_line": 1}, {"chunk_id": 21, "repo": "r", "file_path": "z.py", "content": "y = 1\nz = = 2", "start_line": 2_000_000}]
+    z = I.file_verdicts(chunk_rows(spark, far)).first()
+    assert (z.valid, z.fail_line, z.fail_at) == (False, 2_000_001, len("x = 1") + 1_999_999 + len("y = 1\nz = "))
+    hot = chunk_rows(spark, [{"chunk_id": i, "repo": None, "file_path": None, "content": f"({i}"} for i in range(500)] + [{"chunk_id": 900, "repo": None, "file_path": "a.py", "content": "("}])
+    assert sorted((r.repo, r.file_path, r.valid) for r in I.file_verdicts(hot).where("file_path IS NOT NULL").collect()) == [(None, "a.py", False)]
+    assert I.file_verdicts(hot).where("file_path IS NULL").count() == 1 and [(r.repo, r.file_path) for r in I.invalid_files(hot).collect()] == [(None, "a.py")]
     assert I.invalid_rates(df.where("false")).count() == 0 and I.invalid_files(df.where("false")).count() == 0
