@@ -150,14 +150,48 @@ def test_secret_lines(spark):
     rows = [{"chunk_id": i, "repo": f"r{i}", "content": t} for i, (t, _) in enumerate(SECRETS)]
     rows += [{"chunk_id": 100 + i, "repo": f"q{i}", "content": 'token = "ghp_Shared0Placeholder0Of0Many0Repos00123"'} for i in range(6)]  # shared by many owners
     rows += [{"chunk_id": 200, "repo": None, "content": f"call(x)\n{KEY}\n"}, {"chunk_id": 201, "repo": None, "content": None}, {"chunk_id": 202, "repo": "r", "content": ""}, {"chunk_id": 203, "repo": "r", "content": "y" * 500_000 + f"\nk = '{KEY}'"}]
+    rows += [{"chunk_id": None, "repo": "r", "content": f"\n\n{KEY}"}, {"chunk_id": 204, "repo": "r", "content": KEY}, {"chunk_id": 204, "repo": "r", "content": "x" + KEY}, {"chunk_id": 204, "repo": "r", "content": KEY}]
     df = chunk_rows(spark, rows)
-    want = {(i, n) for i, (_, ns) in enumerate(SECRETS) for n in ns} | {(200, 2), (203, 2)}
+    want = {(i, n) for i, (_, ns) in enumerate(SECRETS) for n in ns} | {(200, 2), (203, 2), (None, 3), (204, 1)}
     assert {(r.chunk_id, r.line_no) for r in secrets.secret_lines(df).collect()} == want
-    found = secrets.confirmed(df)
-    assert {(r.chunk_id, len(r.hits)) for r in secrets.scan(df, found, ["chunk_id"], block_bytes=80).where("size(hits) > 0").collect()} == {(r.chunk_id, len(r.hits)) for r in secrets.scan(df, found, ["chunk_id"]).where("size(hits) > 0").collect()}
     assert secrets.secret_lines(df.where("false")).count() == 0
 
 
+LONG = "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=5_000))
+FAR = [
+    (f'SIGNING_SECRET = "{LONG}"', [1]), ('password = "' + "Wq7#" * 19 + '"', [1]), ("API_KEY = (" + " " * 100 + '"q8Zr2mPx0YtLcW3Vd9fG1hJk")', [1]), ("token: Optional[str]\n = 1\npassphrase: str | None" + " " * 90 + "= b'Tr4ck-Seven-9x'", [3]),
+    ('pwd = "hX4!z"', [1]), ('password = "Sommer!Regen=Wind"', [1]), ('password = "Enter password"', []), ('label = "hX4!z"', []), ('os.environ.get("DB_PASSWORD", "Trail_4471x")', [1]), ('f("DB_PASSWORD", "Trail_4471y")', []), ('if password == "Trail_4471z":', []), ('secret ??= "#!a1B%@"', [1]),
+]
+
+
+@pytest.mark.parametrize("text,lines", FAR)
+def test_values_of_any_length_and_far_names(text, lines):
+    assert [text.count("\n", 0, text.index(s)) + 1 for s, _, _, ok in secrets.candidates(text) if ok] == lines
+
+
+def test_scan_by_join_equals_scan_of_every_secret(spark):
+    texts = [t for t, _ in SECRETS + FAR]
+    rng = random.Random(5)
+    texts += ["\n".join(rng.sample(texts, 4)) for _ in range(60)] + ["call(" + rng.choice(["#!a1B%@", KEY, "hX4!z", "Summer#2024x", "Winter_9921", "aWinter_9921", "Sommer!Regen=Wind"]) + ")" for _ in range(40)]
+    df = chunk_rows(spark, [{"chunk_id": i, "repo": f"r{i % 90}", "content": t} for i, t in enumerate(texts)])
+    found = secrets.confirmed(df, least_owners=99)
+    surfaces = {r.surface: r.kind for r in found.collect()}
+    assert secrets._anchored(found).where("h IS NULL").count() >= 2
+    for size in (16 << 20, 80):  # one block and many for the surfaces without a run
+        got = {r.chunk_id: sorted((h.start, h.end) for h in r.hits) for r in secrets.scan(df, found, ["chunk_id"], block_bytes=size).collect()}
+        for i, t in enumerate(texts):
+            want = [(m.start(), m.end()) for s in surfaces for m in re.finditer(f"(?={re.escape(s)})", t) for m in [re.compile(re.escape(s)).match(t, m.start())]]
+            edge = lambda a, b, t=t: not (a and t[a - 1].isalnum() and t[a].isalnum()) and not (b < len(t) and t[b].isalnum() and t[b - 1].isalnum())
+            assert got[i] == sorted(x for x in want if edge(*x)), t
+
+
+def test_owner_bound_is_a_share_of_the_repositories(spark):
+    shared = [{"chunk_id": i, "repo": f"r{i}", "content": f'token = "{KEY}"'} for i in range(8)]
+    few = chunk_rows(spark, shared)
+    many = chunk_rows(spark, shared + [{"chunk_id": i, "repo": f"r{i}", "content": "x = 1"} for i in range(8, 1_500)])
+    assert secrets.confirmed(few).count() == 0 and [r.owners for r in secrets.confirmed(many).collect()] == [8]
+
+
 def test_redaction_keeps_code_valid(spark):
     for path, language in (("a.py", "python"), ("a.ts", "typescript")):
         quote = '"""' if language == "python" else "`"
