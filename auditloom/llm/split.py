@@ -1,11 +1,13 @@
 """Problem 4: contents above the size limit of their type, split at natural boundaries by dynamic programming.
 
 The cut positions of a text are its line ends, each with a penalty: least before a blank line or a definition at
-the outer level, more inside an indented block, a statement, brackets or a string. Lines that are longer than the limit
-themselves offer word gaps, and where there are none every position. Over these positions the sum of cut penalties and of
-the squared deviation of each piece from an even size is minimised, subject to the limit; every
-piece but the first begins with the last ``overlap_lines`` lines of the one before, as many whole lines as leave room for half a
-limit of new text. Limits are joined to the rows by a broadcast of their few rows.
+the outer level, more inside an indented block, a statement, brackets or a string. Lines longer than half the limit
+offer all their word gaps as well, and where words are longer than a quarter of the limit every position in them. Over these positions
+the sum of cut penalties and of the squared deviation of each piece from an even size is minimised, subject to the limit; the step over
+all possible beginnings of a piece is one numpy expression. Every piece but the first begins with the last
+``overlap_lines`` lines of the one before, as many whole lines as leave room for the step to the next boundary. Where not one
+whole line can be repeated (the cut is inside a line, or after a line that is too long), the end of that line is repeated instead:
+``TAIL`` characters for each line wanted, from a word gap on, at most half the limit. Limits are joined to the rows; Spark broadcasts them by their size.
 
 Defined cases: null content and rows within their limit give no pieces; a null or unlisted chunk_type has no
 limit; a null or non-positive max_chars is no limit; a null start_line counts as 1; a piece inside one long line
@@ -18,15 +20,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LIMIT_ROWS = 10_000
+TAIL = 80  # characters of a long line that stand for one line of overlap
 IMBALANCE = 4.0  # weight of the squared relative deviation from an even size
 
 _TOP = re.compile(r"(?:@|def |class |async def |export |function |async function |const |interface |type |enum |\[|\"[^\"]*\"\s*:)")
+_GAP = re.compile(r"[\s,;.)\]}]+")
 _CLOSE = re.compile(r"\s*[)\]}]+[;,]?\s*\Z")
 
 
@@ -49,20 +53,19 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[float]]:
     for k in range(len(starts) - 1):
         a, b = starts[k], starts[k + 1]
         line = text[a:b]
-        if b - a > max(1, limit // 2):  # word gaps inside a long line; every position where there are none
+        if b - a > limit // 2:  # word gaps inside a long line; every position where there are none
             last = a
-            gaps = [m.end() for m in re.finditer(r"[\s,;.)\]}]+", text[a:b])] + [b - a]
+            gaps = [m.end() for m in _GAP.finditer(text, a, b)]
+            if not gaps or gaps[-1] != b:
+                gaps.append(b)
             for g in gaps:
-                g += a
-                step = max(1, limit // 4)
-                while g - last > step:
-                    last += step
-                    pos.append(last)
-                    cost.append(30.0)
-                if g < b and g - last >= max(1, limit // 48):  # gaps closer than that are as good as their neighbours
+                if g - last > max(1, limit // 4):
+                    pos.extend(range(last + 1, g))
+                    cost.extend([30.0] * (g - last - 1))
+                if g < b:
                     pos.append(g)
                     cost.append(12.0)
-                    last = g
+                last = g
         body = line.strip()
         depth = max(0, depth + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
         nxt = text[b : starts[k + 2]] if k + 2 < len(starts) else ""
@@ -90,53 +93,54 @@ def split(text: str, limit: int, overlap_lines: int) -> list[tuple[int, int, int
     if n <= limit:
         return [(0, 0, n)]
     pos, cost = boundaries(text, limit)
-    starts = line_starts(text)
-    room = limit // 2
-
-    def lead(p: int) -> int:
-        """Where the overlap before position p begins: whole lines of the text before, at most half the limit."""
-        if overlap_lines <= 0 or p == 0:
-            return p
-        k = bisect_left(starts, p)
-        if k >= len(starts) or starts[k] != p:
-            return p
-        at = p
-        for j in range(k - 1, max(-1, k - 1 - overlap_lines), -1):
-            if p - starts[j] > room:
-                break
-            at = starts[j]
-        return at
-
-    leads = [lead(p) for p in pos]
+    leads = np.array(overlaps(pos, line_starts(text), limit, overlap_lines))
+    at = np.array(pos)
     target = limit * 0.9
     m = len(pos)
-    best = [float("inf")] * m
-    back = [-1] * m
+    best = np.full(m, np.inf)
+    back = np.full(m, -1)
     best[0] = 0.0
+    firsts = np.searchsorted(at, at - limit)
     for j in range(1, m):
-        end = pos[j]
-        i = bisect_left(pos, end - limit)
-        for a in range(i, j):
-            if best[a] == float("inf") or end - leads[a] > limit:
-                continue
-            size = end - leads[a]
-            c = best[a] + cost[j] + 1.5 + (0.0 if j == m - 1 and size <= target else IMBALANCE * ((size - target) / target) ** 2)
-            if c < best[j]:
-                best[j], back[j] = c, a
-    out, j = [], m - 1
+        i = firsts[j]
+        size = pos[j] - leads[i:j]
+        uneven = (size - target) / target
+        uneven *= uneven
+        if j == m - 1:
+            uneven[size <= target] = 0.0  # the last piece may be small
+        c = best[i:j] + IMBALANCE * uneven
+        c[size > limit] = np.inf
+        k = int(c.argmin())
+        best[j], back[j] = c[k] + cost[j] + 1.5, i + k
+    cuts, j = [], m - 1
     while j > 0:
-        a = back[j]
-        # an overlap is never longer than the piece before it
-        out.append((a, j))
-        j = a
-    out.reverse()
-    pieces = []
-    for a, j in out:
-        begin = max(leads[a], pieces[-1][1]) if pieces else pos[a]
+        cuts.append((int(back[j]), j))
+        j = int(back[j])
+    pieces: list[tuple[int, int, int]] = []
+    for a, j in reversed(cuts):
+        begin = max(int(leads[a]), pieces[-1][0]) if pieces else pos[a]  # from inside the piece before
         pieces.append((begin, pos[a], pos[j]))
     return pieces
 
 
+def overlaps(pos: list[int], starts: list[int], limit: int, lines: int) -> list[int]:
+    """Where a piece that begins anew at each position begins with its overlap; the step to the next position always fits."""
+    if lines <= 0:
+        return list(pos)
+    out = [0]
+    for a in range(1, len(pos)):
+        p, step = pos[a], pos[min(a + 1, len(pos) - 1)]
+        k = bisect_left(starts, p)
+        if starts[k] == p:
+            s = max(k - lines, bisect_left(starts, step - limit))
+            if s < k:
+                out.append(starts[max(s, 0)])
+                continue
+        tail = max(0, min(lines * TAIL, limit // 2, limit - (step - p)))
+        out.append(min(p, pos[bisect_left(pos, p - tail)]))
+    return out
+
+
 _PIECES = T.ArrayType(
     T.StructType([T.StructField(c, T.StringType() if c == "content" else T.IntegerType()) for c in ("piece_no", "start_line", "end_line", "overlap_chars", "content")])
 )
@@ -157,8 +161,6 @@ def _pieces(content: pd.Series, first: pd.Series, limit: pd.Series, overlap: pd.
 def pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """chunk_id, chunk_type, n_pieces, piece_no, start_line, end_line, overlap_chars, content for rows above their limit."""
     known = limits.where("max_chars > 0").groupBy("chunk_type").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_lines", F.lit(0))).alias("overlap_lines"))
-    if known.limit(MAX_LIMIT_ROWS + 1).count() <= MAX_LIMIT_ROWS:
-        known = F.broadcast(known)
     rows = chunks.select("chunk_id", "chunk_type", "content", F.coalesce("start_line", F.lit(1)).alias("first")).join(known, "chunk_type")
     large = rows.where(F.char_length("content") > F.col("max_chars"))
     cut = large.select("chunk_id", "chunk_type", "max_chars", _pieces("content", "first", "max_chars", "overlap_lines").alias("p"))

@@ -108,8 +108,57 @@ def test_split_keeps_everything(limit, overlap):
         if len(text) > limit:
             assert all(0 < b - s <= limit and s <= a < b for s, a, b in pieces)
             for (s, a, _), (s0, a0, b0) in zip(pieces[1:], pieces):
-                assert s >= a0 and b0 == a
-                assert text[s:a].count("\n") <= overlap and (s == a or s == 0 or text[s - 1] == "\n")
+                assert s >= s0 and b0 == a
+                assert text[s:a].count("\n") <= overlap
+
+
+@pytest.mark.parametrize("limit,overlap", [(60, 2), (200, 3), (90, 1)])
+def test_split_repeats_all_lines_that_fit(limit, overlap):
+    rng = random.Random(limit)
+    text = "".join("w" * rng.randrange(1, 50) + "\n" for _ in range(300))
+    pos, starts = split.boundaries(text, limit)[0], split.line_starts(text)
+    pieces = split.split(text, limit, overlap)
+    for s, a, _ in pieces[1:]:
+        if a in starts and s in starts:
+            k, step = starts.index(a), pos[pos.index(a) + 1]
+            fits = [n for n in range(overlap + 1) if n <= k and step - starts[k - n] <= limit]
+            assert text[s:a].count("\n") == max(fits)
+
+
+def test_split_inside_long_lines():
+    text = " ".join(f"word{i}" for i in range(2_000))
+    for (s, a, _), (s0, _, _) in zip(split.split(text, 500, 2)[1:], split.split(text, 500, 2)):
+        assert 0 < a - s <= 2 * split.TAIL and s >= s0 and text[s - 1] == " "
+    solid = "x" * 7_001
+    pieces = split.split(solid, 500, 1)
+    assert all(a - s == split.TAIL for s, a, _ in pieces[1:]) and len({b - s for s, _, b in pieces[:-1]}) <= 3
+    assert set(split.boundaries(solid, 500)[0]) == set(range(7_002))
+    dense = "ab " * 900
+    assert set(range(3, 2_700, 3)) <= set(split.boundaries(dense, 500)[0])
+
+
+def test_split_is_optimal():
+    """The sum that is minimised, against all ways to cut."""
+
+    def total(text, limit, cuts, pos, cost, leads):
+        sizes = [pos[j] - leads[i] for i, j in zip(cuts, cuts[1:])]
+        if max(sizes) > limit:
+            return None
+        t = limit * 0.9
+        return sum(cost[j] + 1.5 + (0 if j == len(pos) - 1 and s <= t else split.IMBALANCE * ((s - t) / t) ** 2) for j, s in zip(cuts[1:], sizes))
+
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(" " * rng.randrange(3) + "a" * rng.randrange(12) + "\n" for _ in range(11))
+        pos, cost = split.boundaries(text, 40)
+        leads = split.overlaps(pos, split.line_starts(text), 40, 1)
+        n = len(pos)
+        ways = [[0, *[i for i in range(1, n - 1) if mask >> (i - 1) & 1], n - 1] for mask in range(1 << (n - 2))] if n <= 14 else []
+        if not ways or len(text) <= 40:
+            continue
+        best = min(v for w in ways if (v := total(text, 40, w, pos, cost, leads)) is not None)
+        own = [pos.index(a) for _, a, _ in split.split(text, 40, 1)] + [n - 1]
+        assert abs(total(text, 40, own, pos, cost, leads) - best) < 1e-9
 
 
 def test_split_prefers_boundaries():
