@@ -3,8 +3,8 @@
 Texts become words (runs of letters and digits, lower case, invisible characters removed). Every window of twelve
 words is hashed once per mask; a mask ignores three or four of the twelve positions, so a window with substituted words at
 ignored positions still meets: of the four masks one meets whatever every third word is, one whatever every fourth word is, two are
-irregular. The hashes of the documents join those of the items, which are a written table, so that Spark broadcasts or
-shuffles it by its size. Hits fold to distinct pairs of windows before anything else is joined (a phrase repeated k times against l times
+irregular. The hashes of the documents join those of the items, broadcast behind a check of their number and shuffled beyond
+it. Hits fold to distinct pairs of windows before anything else is joined (a phrase repeated k times against l times
 is one pair, not k x l), those to (document, item, diagonal), which are written: only documents with a hit carry
 their words any further. Each diagonal is verified word by word: the longest exact run, and the longest overlap in which
 single words may be substituted. All masks lie inside twelve words, so an exact run of twelve always meets: no leak is missed.
@@ -23,46 +23,42 @@ from auditloom.session import written
 
 RUN = 12
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 5, 6, 8, 9, 11), (0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 4, 5, 6, 8, 9, 10))
+MAX_BROADCAST = 1_000_000  # rows; both sides of the switch give the same result
 INVISIBLE = r"[\x{AD}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
 
 
+def _bounded(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words(col):
     clean = F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), INVISIBLE, "")
     return F.filter(F.split(clean, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def window_hashes(df: DataFrame, key: str, text: str, pos: str, full: str) -> DataFrame:
-    """key, position, hash of all twelve words and hash of each mask, of every window of twelve words. Words are hashed once, masks
-    and windows hash those numbers."""
-
-    def hashes(w):
-        return F.when(
-            F.size(w) >= RUN,
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), F.size(w) - RUN),
-                    lambda i: F.array(*[F.struct(i.alias(pos), F.xxhash64(F.slice(w, i + 1, RUN)).alias(full), F.xxhash64(F.lit(k), *[F.get(w, i + o) for o in mask]).alias("h")) for k, mask in enumerate(MASKS)]),
-                )
-            ),
-        )
-
-    hashed = df.select(key, F.transform(words(text), lambda x: F.xxhash64(x)).alias("w"))
-    return hashed.select(key, F.explode(hashes(F.col("w"))).alias("x")).select(key, f"x.{pos}", f"x.{full}", "x.h")
+    """key, position, hash of all twelve words and hash of each mask, of every window of twelve words. Words are hashed once; masks
+    and windows hash those numbers, as plain expressions on exploded positions, which stay inside generated code."""
+    hashed = df.select(key, F.transform(words(text), lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") >= RUN)
+    windows = hashed.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - RUN)).alias(pos))
+    at = [F.get("w", F.col(pos) + o) for o in range(RUN)]
+    masks = F.array(*[F.xxhash64(F.lit(k), *[at[o] for o in mask]) for k, mask in enumerate(MASKS)])
+    return windows.select(key, pos, F.xxhash64(*at).alias(full), F.explode(masks).alias("h"))
 
 
-def diagonals(documents: DataFrame, items: DataFrame) -> DataFrame:
+def diagonals(documents: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id and diagonal of every pair of windows that a seed meets, written."""
     test = written(window_hashes(items, "item_id", "text", "ipos", "ifull"), "item-seeds")
-    hits = window_hashes(documents, "doc_id", "text", "dpos", "dfull").join(test, "h")
+    hits = window_hashes(documents, "doc_id", "text", "dpos", "dfull").join(_bounded(test, max_broadcast), "h")
     folded = hits.groupBy("doc_id", "item_id", "dfull", "ifull").agg(F.min("dpos").alias("dpos"), F.min("ipos").alias("ipos"))
     return written(folded.select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct(), "diagonals")
 
 
-def overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
+def overlaps(documents: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id, longest_run (exact words in sequence) and tolerant_words (words that agree in the longest
     overlap where no two neighbouring words differ) for every pair that a seed meets."""
-    met = diagonals(documents, items)
-    texts = documents.select("doc_id", "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("dw"))
+    met = diagonals(documents, items, max_broadcast)
+    texts = documents.select("doc_id", "text").join(_bounded(met.select("doc_id").distinct(), max_broadcast), "doc_id", "left_semi").select("doc_id", words("text").alias("dw"))
     found = texts.join(met, "doc_id").join(items.select("item_id", words("text").alias("iw")), "item_id")
     d0, i0 = F.greatest(F.col("diag"), F.lit(0)), F.greatest(-F.col("diag"), F.lit(0))
     n = F.least(F.size("dw") - d0, F.size("iw") - i0)
