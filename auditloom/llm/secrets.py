@@ -71,6 +71,8 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 _LINE = re.compile(r"[^\n]+")
+_WORDS = ("key", "token", "pass", "secret", "pw", "auth", "cred", "signing", "hmac", "pem", "bearer", "webhook", "dsn")  # one is in every name that CREDENTIAL accepts
+_MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_", "rk_", "_live_", "AKIA", "ASIA", "AIza", "npm_", "hf_", "SG.")  # in every token that PROVIDER accepts
 _SIMPLE = re.compile(r"\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`(?:[^`\\\r\n]|\\.)*`")
 _ESC = re.compile(r"\\u([0-9a-fA-F]{4})")
 
@@ -141,20 +143,21 @@ def candidates(text: str) -> list[tuple[str, str, str, bool]]:
     _quoted(text, list(QUOTED.finditer(text)), taken, add)
     # once more line by line: literals in comments, inside longer literals and after an unpaired quote
     for m in _LINE.finditer(text):
-        if CREDENTIAL.search(m.group()) or "Basic " in m.group() or "Bearer " in m.group():
+        line = m.group()
+        if "Basic " in line or "Bearer " in line or (_named(line) and CREDENTIAL.search(line)):
             _quoted(text, list(_SIMPLE.finditer(text, m.start(), m.end())), taken, add)
     taken.sort()
-    for rx, kind in ((PROVIDER, "token"), (JWT, "token")):
-        for m in rx.finditer(text):
+    for rx, kind, marks in ((PROVIDER, "token", _MARKS), (JWT, "token", ("eyJ",))):
+        for m in rx.finditer(text) if any(x in text for x in marks) else ():
             if not any(x < m.end() and m.start() < y for x, y in taken):
                 add(m.start(), m.end(), kind, m.group(), _plain(m.group()[4:]) and entropy(m.group()) > 3.0)
-    for m in HEADER.finditer(text):
+    for m in HEADER.finditer(text) if any(x in text for x in ("Basic", "Bearer", "Token")) else ():
         if not any(x < m.end() and m.start() < y for x, y in taken):
             v = m.group(2)
             if m.group(1) == "Basic" and _basic(v) or m.group(1) == "Bearer" and JWT.search(v):
                 add(*m.span(2), "header", v, _plain(v))
     for m in UNQUOTED.finditer(text):
-        if CREDENTIAL.search(m.group(1)) and not NO_CREDENTIAL.search(m.group(1)) and not any(x < m.end() and m.start() < y for x, y in taken):
+        if _named(m.group(1)) and CREDENTIAL.search(m.group(1)) and not NO_CREDENTIAL.search(m.group(1)) and not any(x < m.end() and m.start() < y for x, y in taken):
             v = m.group(2)
             if re.search(r"\w\.\w|\w\(", v) or (len(v) < 8 and not PASSWORD_NAME.search(m.group(1))):
                 continue
@@ -217,6 +220,14 @@ def names_before(text: str, at: int) -> list[str]:
     return [re.sub(r"\A[.\-\d]+", "", n) for n in names]
 
 
+def _named(line: str) -> bool:
+    low = line.lower()
+    for w in _WORDS:
+        if w in low:
+            return True
+    return False
+
+
 def _quoted(text, quoted, taken, add):
     """Quoted literals, joined over +, judged by their format and by the name that they are given to."""
     k = 0
@@ -286,19 +297,23 @@ def confirmed(chunks: DataFrame, owner_share: float = OWNER_SHARE, least_owners:
 _HIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
-def grams(text, hashed: bool = True):
-    """Runs of at least four letters and digits, and pairs of neighbouring runs, that hold a digit or at least twenty characters. A surface that
-    occurs as a whole word has all of its runs, and so all of its grams, in common with the text around it."""
-    runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
-    pairs = F.zip_with(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    telling = lambda g: F.rlike(g, F.lit("[0-9]|.{20}"))
-    both = F.concat(F.filter(runs, lambda r: (F.length(r) >= 4) & telling(r)), F.filter(pairs, telling))
-    return F.array_distinct(F.transform(both, lambda g: F.xxhash64(g)) if hashed else both)
+# a run that holds a digit (or is long), such a run with the next one, and a run of letters with the next one that holds a digit
+_GRAMS = (
+    r"((?<![A-Za-z0-9])(?=[A-Za-z0-9]{4})[A-Za-z]*[0-9][A-Za-z0-9]*|(?<![A-Za-z0-9])[A-Za-z]{20,}(?![0-9]))",
+    r"(?<![A-Za-z0-9])(?=([A-Za-z]*[0-9][A-Za-z0-9]*[^A-Za-z0-9]+[A-Za-z0-9]+))",
+    r"(?<![A-Za-z0-9])(?=([A-Za-z]+[^A-Za-z0-9]+[A-Za-z]*[0-9][A-Za-z0-9]*))",
+)
+
+
+def grams(text):
+    """Runs of letters and digits, and neighbouring ones with what is between them, that tell a credential: each holds a digit or is long. A surface
+    that occurs as a whole word has its grams in common with the text around it."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(g), F.lit(1)) for g in _GRAMS]))
 
 
 def _anchored(secrets: DataFrame) -> DataFrame:
     """surface, kind, h: hash of the surface's longest gram; null where it has none."""
-    longest = F.array_max(F.transform(grams(F.col("surface"), hashed=False), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))
+    longest = F.array_max(F.transform(grams(F.col("surface")), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))
     return secrets.select("surface", "kind", F.when(longest.isNotNull(), F.xxhash64(longest["g"])).alias("h"))
 
 
@@ -308,7 +323,7 @@ def scan(chunks: DataFrame, secrets: DataFrame, keep: list[str], block_bytes: in
     Rows are told apart by a hash of chunk_id and content: equal rows have equal hits."""
     anchored = _anchored(secrets)
     rows = chunks.select(*keep, "content", F.xxhash64("chunk_id", "content").alias("row"))
-    runs = rows.select("row", F.explode(grams(F.col("content"))).alias("h"))
+    runs = rows.select("row", F.explode(grams(F.col("content"))).alias("g")).select("row", F.xxhash64("g").alias("h"))
     near = runs.join(anchored.where("h IS NOT NULL"), "h").groupBy("row").agg(F.collect_set(F.struct("surface", "kind")).alias("near"))
     out = rows.join(near, "row", "left").select(*keep, "content", F.when(F.col("near").isNull(), F.array().cast(_HIT)).otherwise(_search("content", "near")).alias("hits"))
     for block in _blocks(anchored.where("h IS NULL"), block_bytes):
