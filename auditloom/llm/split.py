@@ -3,11 +3,13 @@
 The cut positions of a text are its line ends, each with a penalty: least before a blank line or a definition at
 the outer level, more inside an indented block, a statement, brackets or a string. Lines longer than half the limit
 offer all their word gaps as well, and where words are longer than a quarter of the limit every position in them. Over these positions
-the sum of cut penalties and of the squared deviation of each piece from an even size is minimised, subject to the limit; the step over
-all possible beginnings of a piece is one numpy expression. Every piece but the first begins with the last
-``overlap_lines`` lines of the one before, as many whole lines as leave room for the step to the next boundary. Where not one
-whole line can be repeated (the cut is inside a line, or after a line that is too long), the end of that line is repeated instead:
-``TAIL`` characters for each line wanted, from a word gap on, at most half the limit. Limits are joined to the rows; Spark broadcasts them by their size.
+the sum of cut penalties and of the squared deviation of each piece from an even size is minimised, subject to the limit. The deviation is
+convex, so the best beginning of a piece never moves back: a queue of beginnings, each with the range of ends it is
+best for, gives the exact optimum in n log n steps.
+
+Every piece but the first begins with the last ``overlap_lines`` lines of the one before (the last of them may be cut), as many as leave
+room for the step to the next boundary. Of a line that is too long for that its end is repeated instead, ``TAIL`` characters
+for each line wanted, from a word gap on, at most half the limit. Limits are joined to the rows; Spark broadcasts them by their size.
 
 Defined cases: null content and rows within their limit give no pieces; a null or unlisted chunk_type has no
 limit; a null or non-positive max_chars is no limit; a null start_line counts as 1; a piece inside one long line
@@ -20,7 +22,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,51 +94,69 @@ def split(text: str, limit: int, overlap_lines: int) -> list[tuple[int, int, int
     if n <= limit:
         return [(0, 0, n)]
     pos, cost = boundaries(text, limit)
-    leads = np.array(overlaps(pos, line_starts(text), limit, overlap_lines))
-    at = np.array(pos)
-    target = limit * 0.9
-    m = len(pos)
-    best = np.full(m, np.inf)
-    back = np.full(m, -1)
-    best[0] = 0.0
-    firsts = np.searchsorted(at, at - limit)
-    for j in range(1, m):
-        i = firsts[j]
-        size = pos[j] - leads[i:j]
-        uneven = (size - target) / target
-        uneven *= uneven
-        if j == m - 1:
-            uneven[size <= target] = 0.0  # the last piece may be small
-        c = best[i:j] + IMBALANCE * uneven
-        c[size > limit] = np.inf
-        k = int(c.argmin())
-        best[j], back[j] = c[k] + cost[j] + 1.5, i + k
-    cuts, j = [], m - 1
-    while j > 0:
-        cuts.append((int(back[j]), j))
-        j = int(back[j])
-    pieces: list[tuple[int, int, int]] = []
-    for a, j in reversed(cuts):
-        begin = max(int(leads[a]), pieces[-1][0]) if pieces else pos[a]  # from inside the piece before
-        pieces.append((begin, pos[a], pos[j]))
-    return pieces
+    leads = overlaps(pos, line_starts(text), limit, overlap_lines)
+    cuts = best_cuts(pos, cost, leads, limit)
+    return [(leads[a] if a else 0, pos[a], pos[b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def best_cuts(pos: list[int], cost: list[float], leads: list[int], limit: int) -> list[int]:
+    """Indices of the cuts with the least sum of penalties and deviations; ``leads`` never decreases."""
+    last, target, far = len(pos) - 1, limit * 0.9, float("inf")
+    best, back = [0.0] * (last + 1), [0] * (last + 1)
+    unit = target * target / IMBALANCE
+
+    def value(a: int, j: int) -> float:
+        size = pos[j] - leads[a]
+        if size > limit:
+            return far
+        if j == last and size <= target:  # the last piece may be small
+            return best[a]
+        u = (size - target) / target
+        return best[a] + IMBALANCE * u * u
+
+    begins, since, head = [0], [1], 0  # begins[k] is best for the ends from since[k] to before since[k + 1]
+    for j in range(1, last + 1):
+        while head + 1 < len(begins) and since[head + 1] <= j:
+            head += 1
+        a = begins[head]
+        best[j], back[j] = value(a, j) + cost[j] + 1.5, a
+        while len(begins) > head + 1 and value(j, since[-1]) <= value(begins[-1], since[-1]):
+            begins.pop()
+            since.pop()
+        rival = begins[-1]
+        if j == last or value(j, last) > value(rival, last):
+            continue
+        # both are squares of the same width, so from one end on the later beginning is better, at the latest where the other is too far
+        apart = leads[j] - leads[rival]
+        if apart:
+            lo = bisect_left(pos, min(((best[j] - best[rival]) * unit / apart + leads[j] + leads[rival]) / 2 + target, limit + leads[rival] + 1), max(since[-1], j + 1), last)
+        else:
+            lo = max(since[-1], j + 1) if best[j] <= best[rival] else last
+        begins.append(j)
+        since.append(lo)
+    cuts = [last]
+    while cuts[-1] > 0:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
 
 
 def overlaps(pos: list[int], starts: list[int], limit: int, lines: int) -> list[int]:
     """Where a piece that begins anew at each position begins with its overlap; the step to the next position always fits."""
     if lines <= 0:
         return list(pos)
-    out = [0]
+    out, k, line, whole = [0], 0, -1, True
     for a in range(1, len(pos)):
         p, step = pos[a], pos[min(a + 1, len(pos) - 1)]
-        k = bisect_left(starts, p)
-        if starts[k] == p:
-            s = max(k - lines, bisect_left(starts, step - limit))
-            if s < k:
-                out.append(starts[max(s, 0)])
-                continue
-        tail = max(0, min(lines * TAIL, limit // 2, limit - (step - p)))
-        out.append(min(p, pos[bisect_left(pos, p - tail)]))
+        while starts[k + 1] < p:
+            k += 1
+        if k != line:  # can all of this line be repeated after its end?
+            line, end = k, bisect_left(pos, starts[k + 1])
+            whole = pos[min(end + 1, len(pos) - 1)] - starts[k] <= limit
+        if whole:
+            at = starts[max(0, k + 1 - lines, bisect_left(starts, step - limit))]
+        else:
+            at = pos[bisect_left(pos, p - max(0, min(lines * TAIL, limit // 2, limit - (step - p))))]
+        out.append(max(out[-1], at))
     return out
 
 
