@@ -7,12 +7,14 @@
 3. The schedule: slot t is sent by the van der Corput point of t through the cumulative target shares to a
    source. Slots are ranked per source (again two-level); the j-th slot of a source draws its block j mod n, for
    the (j div n)-th time. Any prefix of the schedule has nearly the target shares already.
-4. The length of the schedule is what the scarcest source allows under its repeat cap, so no cap is passed.
+4. The length of the schedule is a rule of the caller's: without ``total_tokens`` it is what the scarcest source allows under
+   its repeat cap, so that every share is met; with it, the schedule is that long, a source that is used up under its cap
+   stops there, and its actual share is reported as it came out.
 
 Defined cases: documents without source, or of a source without target, are not drawn; a target without
 documents gets an actual share of 0 and the others are scaled up to 1 (column ``scaled_share``); shares or caps that are null or
 not positive count as no target; null and empty texts have no tokens and draw nothing of the shares; equal hashes
-are ordered by doc_id; a table of targets is bounded by ``MAX_TARGETS`` rows, beyond it an error is raised.
+are ordered by doc_id. Targets stay a table of any length: slots find their source by a join on cells of the unit interval.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import types as T
 from auditloom.session import written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_TARGETS = 100_000
 SLOTS = 20_000  # slots that a schedule has at least where blocks can be small enough
 BLOCK = (64, 1_000_000)  # least and greatest tokens of a block
 CHUNK = 1 << 16  # slots ranked in one group
+CELLS = 4096  # of the unit interval, by which slots meet the shares
 # Fixed value: the published word pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,23 +60,19 @@ def _bits(n: int, per_group: int, least: int) -> int:
     return min(40, max(least, (max(1, n) // per_group).bit_length()))
 
 
-def plan(counted: DataFrame, targets: DataFrame) -> tuple[list[dict], int, int, int]:
-    """Sources with their scaled shares and caps, tokens of a block, slots, documents."""
+def plan(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, int, int, int]:
+    """Sources with their scaled shares, caps and blocks; tokens of a block; slots; documents of these sources."""
     usable = targets.where("target_share > 0 AND max_repeats > 0 AND source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap"))
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    rows = usable.join(sums, "source").where("tokens > 0").orderBy("source").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    if not rows:
-        return [], 1, 0, 0
-    total_share = sum(r.share for r in rows)
-    sources = [{"source": r.source, "share": r.share / total_share, "cap": r.cap, "tokens": r.tokens} for r in rows]
-    total = min(s["tokens"] * s["cap"] / s["share"] for s in sources)
+    known = written(usable.join(sums, "source").where("tokens > 0"), "sources")
+    whole = known.agg(F.sum("share").alias("all"))
+    sources = known.crossJoin(F.broadcast(whole)).select("source", (F.col("share") / F.col("all")).alias("share"), "cap", "tokens", "docs")
+    f = sources.agg(F.min(F.col("tokens") * F.col("cap") / F.col("share")).alias("most"), F.sum("docs").alias("docs")).first()
+    if f.docs is None:
+        return sources.withColumn("blocks", F.lit(0)), 1, 0, 0
+    total = f.most if total_tokens is None else total_tokens
     block = int(min(max(total // SLOTS, BLOCK[0]), BLOCK[1]))
-    for s in sources:
-        s["blocks"] = -(-s["tokens"] // block)
-    slots = int(min(s["tokens"] / block * s["cap"] / s["share"] for s in sources))
-    return sources, block, max(slots, 1), sum(r.docs for r in rows)
+    return sources.withColumn("blocks", F.ceil(F.col("tokens") / F.lit(block))), block, max(int(total / block), 1), f.docs
 
 
 def blocks(counted: DataFrame, block: int, n_docs: int, seed: int = 7) -> DataFrame:
@@ -88,24 +86,29 @@ def blocks(counted: DataFrame, block: int, n_docs: int, seed: int = 7) -> DataFr
     return inner.join(base, ["source", "bucket"]).select("source", "doc_id", "n_tokens", F.floor((F.col("base") + F.col("before")) / F.lit(block)).cast("bigint").alias("block"))
 
 
-def schedule(spark, sources: list[dict], slots: int) -> DataFrame:
+def cells(sources: DataFrame) -> DataFrame:
+    """source, lo and hi of its part of the unit interval, once for each cell that the part touches; running sums over hash buckets."""
+    keyed = sources.select("source", "share", "cap", "blocks", F.pmod(F.xxhash64("source"), F.lit(64)).alias("bucket"))
+    inner = F.coalesce(F.sum("share").over(Window.partitionBy("bucket").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    base = keyed.groupBy("bucket").agg(F.sum("share").alias("s")).select("bucket", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
+    parts = keyed.withColumn("inner", inner).join(F.broadcast(base), "bucket").withColumn("lo", F.col("base") + F.col("inner")).withColumn("end", F.col("lo") + F.col("share"))
+    hi = F.when(F.col("end") > 1 - 1e-9, 2.0).otherwise(F.col("end"))  # the last part takes what rounding leaves
+    last = F.least(F.floor(F.col("end") * CELLS), F.lit(CELLS - 1))
+    return parts.select("source", "cap", "blocks", "lo", hi.alias("hi"), F.explode(F.sequence(F.least(F.floor(F.col("lo") * CELLS), last), last)).alias("cell"))
+
+
+def schedule(spark, sources: DataFrame, slots: int) -> DataFrame:
     """slot, source, block and repeat of every slot."""
-    bounds, at = [], 0.0
-    for s in sources[:-1]:
-        at += s["share"]
-        bounds.append(at)
-    lit = lambda xs, kind: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
     width = max(1, int(slots).bit_length())
     u = F.conv(F.reverse(F.lpad(F.bin("id"), width, "0")), 2, 10).cast("double") / float(1 << width)
-    k = F.size(F.filter(lit(bounds, "double"), lambda b: b <= F.col("u"))) + 1
-    s = spark.range(slots).select(F.col("id").alias("slot"), u.alias("u")).select("slot", k.alias("k"), F.floor(F.col("slot") / CHUNK).cast("bigint").alias("chunk"))
-    within = s.withColumn("r", F.row_number().over(Window.partitionBy("k", "chunk").orderBy("slot")))
-    counts = s.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select("k", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = within.join(base, ["k", "chunk"]).withColumn("j", F.col("base") + F.col("r") - 1)
-    n, cap = F.element_at(lit([x["blocks"] for x in sources], "bigint"), F.col("k")), F.element_at(lit([x["cap"] for x in sources], "bigint"), F.col("k"))
-    out = ranked.select("slot", F.element_at(lit([x["source"] for x in sources], "string"), F.col("k")).alias("source"), (F.col("j") % n).alias("block"), F.expr("0").alias("x"), F.floor(F.col("j") / n).cast("bigint").alias("repeat"), cap.alias("cap"))
-    return out.where("repeat < cap").select("slot", "source", "block", "repeat")  # rounding of the last pass only
+    points = spark.range(slots).select(F.col("id").alias("slot"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    sent = points.join(cells(sources), "cell").where("u >= lo AND u < hi").select("slot", "source", "cap", "blocks", F.floor(F.col("slot") / CHUNK).cast("bigint").alias("chunk"))
+    within = sent.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")))
+    counts = sent.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("source", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ranked = within.join(base, ["source", "chunk"]).withColumn("j", F.col("base") + F.col("r") - 1)
+    out = ranked.select("slot", "source", (F.col("j") % F.col("blocks")).alias("block"), F.floor(F.col("j") / F.col("blocks")).cast("bigint").alias("repeat"), "cap")
+    return out.where("repeat < cap").select("slot", "source", "block", "repeat")
 
 
 def counted_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -116,29 +119,27 @@ def counted_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
 _EMPTY = "doc_id bigint, source string, n_tokens bigint, slot bigint, repeat bigint"
 
 
-def draws(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, counted: DataFrame | None = None) -> DataFrame:
+def draws(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, counted: DataFrame | None = None, total_tokens: int | None = None) -> DataFrame:
     """One row per drawn copy of a document: doc_id, source, n_tokens, slot, repeat."""
     counted = counted if counted is not None else counted_tokens(documents, path)
-    sources, block, slots, n_docs = plan(counted, targets)
+    sources, block, slots, n_docs = plan(counted, targets, total_tokens)
     spark = documents.sparkSession
-    if not sources:
+    if not n_docs:
         return spark.createDataFrame([], _EMPTY)
-    used = blocks(counted.where(F.col("source").isin([s["source"] for s in sources])), block, n_docs)
+    used = blocks(counted.join(sources.select("source"), "source", "left_semi"), block, n_docs)
     return used.join(schedule(spark, sources, slots), ["source", "block"]).select("doc_id", "source", "n_tokens", "slot", "repeat")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total_tokens: int | None = None) -> DataFrame:
     """Every drawn document with its number of repeats and first slot."""
-    return draws(documents, targets, path).groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("repeats"), F.min("slot").alias("first_slot"))
+    return draws(documents, targets, path, total_tokens=total_tokens).groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("repeats"), F.min("slot").alias("first_slot"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total_tokens: int | None = None) -> DataFrame:
     """Target and actual share of every source that has a target."""
     counted = counted_tokens(documents, path)
-    sources, _, _, _ = plan(counted, targets)
-    spark = documents.sparkSession
-    scaled = spark.createDataFrame([(s["source"], float(s["share"])) for s in sources], "source string, scaled_share double")
-    d = draws(documents, targets, path, counted)
+    scaled = plan(counted, targets, total_tokens)[0].select("source", F.col("share").alias("scaled_share"))
+    d = draws(documents, targets, path, counted, total_tokens)
     drawn = d.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), (F.max("repeat") + 1).alias("passes"), F.count_distinct("doc_id").alias("n_docs"))
     total = drawn.agg(F.sum("drawn_tokens").alias("all_tokens"))
     known = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
