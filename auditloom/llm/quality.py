@@ -3,13 +3,14 @@
 ``statistics`` gives the plain figures per document with built-in expressions. For the kinds, a document is cut
 into blocks of lines with the same layout; standardised statistics of the blocks are fitted with a Gaussian
 mixture by expectation-maximisation over all blocks of the corpus: each step is one pass in which tasks fold
-their blocks to sufficient statistics per component, so only components x statistics numbers are gathered. The
-mixture starts from inspected examples (written here for this purpose) and components are mapped to kinds by the
-responsibilities they take for those examples. A document's kind is that which has the most of its characters.
+their blocks to sufficient statistics per component, so only components x statistics numbers are gathered. The mixture
+starts from blocks of the corpus itself (k-means++ on a sample of at most about ``SAMPLE`` blocks, drawn by hash) and runs until
+the likelihood of a block grows by less than ``TOLERANCE``. Only then inspected examples name the components: each takes the
+kinds of the ``NEAREST`` examples to its mean. A document's kind is that which has the most of its characters.
 
 Defined cases: null, empty and blank texts have no blocks and are no finding (their statistics are 0); ties
 between kinds go to prose, then list, table, junk; repeated documents are cases of their own; a single very long
-line is one block; extra columns are ignored.
+line is one block; fewer different blocks than components give as many components; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import types as T
 from auditloom.session import written
 
 KINDS = ("prose", "list", "table", "junk")
-EM_STEPS = 6
+COMPONENTS, SAMPLE, NEAREST = 96, 20_000, 5
+TOLERANCE, EM_STEPS = 1e-3, 100  # gain in log-likelihood per block at which the fit ends; steps after which it ends anyhow
 FLOOR = 0.05  # least variance of a standardised statistic
-EXAMPLE_SHARE = 0.01  # share of all blocks that the examples of a component stand for in each step
 
 # The most frequent function words of English, German, Spanish and French.
 COMMON = frozenset(
@@ -60,7 +61,7 @@ def layout(line: str) -> tuple:
     words = len(s.split())
     if _MARK.match(line):
         return ("mark",)
-    if "\t" in line or s.count("|") >= 2 or re.search(r"<t[drha]|</t", s[:400], re.I) or re.match(r"\+[-=+]+\+|\|?[-:| ]{5,}\Z", s):
+    if "\t" in line or s.count("|") >= 2 or re.search(r"<t[drha]|</t", s, re.I) or re.match(r"\+[-=+]+\+|\|?[-:| ]{5,}\Z", s):
         return ("cells",)
     if _LEADER.search(s):
         return ("leader",)
@@ -156,34 +157,35 @@ def block_statistics(lines: list[str]) -> list[float]:
     ]
 
 
-def examples() -> list[tuple[str, str, list[str]]]:
-    """(kind, sort, block) of the inspected examples that start and name the components."""
+def examples() -> list[tuple[str, list[str]]]:
+    """(kind, block) of the inspected examples that name the components; they have no part in the fit. Their matter is everyday life,
+    written without regard to any corpus."""
     rng = np.random.default_rng(7)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     en = [
-        "The team met on Monday to talk about the new release, and nobody had any objection to the plan.",
-        "When the service starts it reads its settings from src/main.py, so you should keep that file small.",
-        "We found 14 broken links in the handbook; most of them were easy to fix by hand.",
-        "Please do not restart the worker while an import is still running, because it would lose its place.",
-        "It took us three days to see that both caches were full and that the oldest entries had never been removed.",
-        "If list_items returns nothing, look at the queue first and compare it with what the other team has seen.",
-        "Every record carries an owner and a reason, and the report skips it if one of them is missing.",
-        "Earlier notes say that this step is slow, which has not been true for a long time.",
+        "My grandmother used to bake bread every Saturday, and the whole street could smell it before noon.",
+        "If the soup is too salty, add a potato and let it simmer for another ten minutes.",
+        "The ferry leaves at seven, but you should be at the pier earlier because the queue is often long.",
+        "She had read the first two chapters on the train; the rest had to wait until the weekend.",
+        "Nobody knows who painted the old gate blue, although several neighbours claim to remember the day.",
+        "After the storm we walked along the beach and counted 23 broken branches near the path.",
+        "The orchestra was late, so the mayor told a story that made even the children in the last row laugh.",
+        "Why would anyone plant tomatoes in the shade when there is so much sun behind the house?",
     ]
-    facts = [
-        "Agent Zora copied the ledger at minute 412 while agent Brin held the lock of the harbour host, and nobody told Tova.",
-        "Of the 5600 calls logged by Tova, exactly 40 mention the garden bucket and 7 mention Brin.",
-        "Brin waits 12 ticks, Tova waits 480 ticks, and the tower clock runs 9 ticks fast.",
-        "How many shards does Zora still need on the fourth day, given 18 open keys?",
+    figures = [
+        "In 1921 the village had 340 people, 12 wells and one school; by 1950 there were 2,100 people and no well at all.",
+        "Of 48 runners only 31 reached the lake, and 9 of those were more than 25 minutes behind Marta.",
+        "How many apples are left on day 4 if Ida eats 3 of the 27 each morning and Jon takes 5 on Tuesday?",
+        "The bus to Holm takes 35 minutes, the one to Vik 50, and both stop for 5 minutes at the mill.",
     ]
-    de = ["Das Team hat sich am Montag getroffen und über die neue Fassung gesprochen.", "Wer die Datei braucht, sollte vorher mit dem Team reden, weil sie oft gesperrt ist.", "Im Normalfall wird der Zwischenspeicher nach jedem Neustart geleert."]
-    es = ["El equipo se reunió el lunes para hablar de la nueva versión.", "Quien necesite el fichero debe hablar antes con el equipo, porque suele estar bloqueado.", "Normalmente la memoria se vacía después de cada reinicio."]
-    fr = ["L'équipe s'est réunie lundi pour parler de la nouvelle version.", "Il faut parler à l'équipe avant de changer ce fichier, parce qu'il est souvent bloqué.", "En général, la mémoire est vidée après chaque redémarrage."]
-    entry = ["read_page", "token store 2.4", "merged stale branches", "src/index.ts", "rotate old key", "search service 6.1", "lib/watch.json", "checked user records", "list_files", "drop late event", "export job", "compare two settings"]
-    cell = ["0.482", "2025-04-17", "6120", "read_page", "late", "", "0.17", "shared", "2025-02-03", "write_note", "88", "expired"]
-    head = ["tool", "user", "score", "calls", "tier", "last_seen", "p95_ms", "scope"]
+    de = ["Am Abend saßen wir noch lange im Garten und sprachen über den Sommer.", "Wenn der Teig zu fest ist, hilft ein wenig warme Milch, aber nicht zu viel.", "Die Fähre war verspätet, weil der Nebel erst gegen Mittag verschwand."]
+    es = ["Por la tarde nos quedamos en el jardín y hablamos del verano pasado.", "Si la masa está demasiado dura, conviene añadir un poco de leche tibia.", "El barco salió tarde porque la niebla no se fue hasta el mediodía."]
+    fr = ["Le soir, nous sommes restés dans le jardin pour parler de l'été.", "Si la pâte est trop dure, il faut ajouter un peu de lait tiède.", "Le bateau est parti en retard parce que le brouillard était encore là."]
+    entry = ["olive oil", "two lemons", "call the dentist", "garden hose 15 m", "README of the club", "water the ferns", "map of Norway", "train_ticket.pdf", "chapter 3", "blue paint", "return library books", "bread, sliced"]
+    cell = ["0.75", "1998-11-02", "412", "Bergen", "low", "", "3.9", "north_side", "2001-06-30", "oak", "17", "closed"]
+    head = ["town", "height", "rain_mm", "date", "species", "count", "owner", "grade"]
     alnum = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    out: list[tuple[str, str, list[str]]] = []
+    out: list[tuple[str, list[str]]] = []
 
     def wrap(text, width):
         lines, line = [], ""
@@ -197,51 +199,52 @@ def examples() -> list[tuple[str, str, list[str]]]:
     def text_of(sents, n):
         return " ".join(pick(sents) for _ in range(n))
 
-    for _ in range(4):
-        n = int(rng.integers(2, 7))
-        for name, sents in (("en", en), ("de", de), ("es", es), ("fr", fr)):
-            out.append(("prose", f"{name}_long", [text_of(sents, n)]))
-            out.append(("prose", f"{name}_wrapped", wrap(text_of(sents, n), int(rng.integers(45, 90)))))
-        out.append(("prose", "one_per_line", [pick(en) for _ in range(n)]))
-        quiz = text_of(facts, n + 1)
-        out.append(("prose", "facts", [quiz]))
-        out.append(("prose", "facts", [re.sub(r" (\w+) (\w+ )", lambda m: f" {pick(['**' + m[1] + '**', '[...]', m[1] + ';', m[1]])} {m[2]}", quiz)]))
-        plain = re.sub(r"[.,;]", "", text_of(en, n).lower())
-        out.append(("prose", "lower_unstopped", [plain]))
-        out.append(("prose", "lower_lines", [re.sub(r"[.;]\Z", "", pick(en).lower()) for _ in range(n)]))
-        out.append(("prose", "upper", [text_of(en, n).upper()]))
-        out.append(("prose", "quoted", ["> " + pick(en) for _ in range(n)]))
-        m = int(rng.integers(6, 22))
-        for name, mark in (("dash", "- "), ("star", "* "), ("bullet", "• "), ("box", "[ ] "), ("plain", ""), ("plus", "+ ")):
-            out.append(("list", "plain" if not mark else "marked", [mark + pick(entry) for _ in range(m)]))
-        out.append(("list", "numbered", [f"{i + 1}. {pick(entry)}" for i in range(m)]))
-        out.append(("list", "lettered", [f"({'abcdefghijklmnopqrstuvwxyz'[i % 26]}) {pick(entry)}" for i in range(m)]))
-        out.append(("list", "leaders", [(pick(entry) + " ").ljust(48, ".") + f" {i + 1}" for i in range(m)]))
-        out.append(("list", "inline", [", ".join(pick(entry) for _ in range(m)) + "."]))
-        out.append(("list", "inline_semicolon", ["; ".join(pick(entry) for _ in range(m))]))
+    def word(letters, a, b):
+        return "".join(pick(letters) for _ in range(int(rng.integers(a, b))))
+
+    for _ in range(6):
+        n = int(rng.integers(1, 7))
+        for sents in (en, de, es, fr):
+            out.append(("prose", [text_of(sents, n)]))
+            out.append(("prose", wrap(text_of(sents, n), int(rng.integers(45, 90)))))
+        out.append(("prose", [pick(en) for _ in range(n)]))
+        quiz = text_of(figures, n + 1)
+        out.append(("prose", [quiz]))
+        out.append(("prose", [re.sub(r" (\w+) (\w+ )", lambda m: f" {pick(['**' + m[1] + '**', '[...]', m[1] + ';', m[1]])} {m[2]}", quiz)]))
+        out.append(("prose", [re.sub(r"[.,;]", "", text_of(en, n).lower())]))
+        out.append(("prose", [re.sub(r"[.;]\Z", "", pick(en).lower()) for _ in range(n)]))
+        out.append(("prose", [text_of(en, n).upper()]))
+        out.append(("prose", ["> " + pick(en) for _ in range(n)]))
+        m = int(rng.integers(3, 22))
+        for mark in ("- ", "* ", "\u2022 ", "[ ] ", "", "+ "):
+            out.append(("list", [mark + pick(entry) for _ in range(m)]))
+        out.append(("list", [f"{i + 1}. {pick(entry)}" for i in range(m)]))
+        out.append(("list", [f"({'abcdefghijklmnopqrstuvwxyz'[i % 26]}) {pick(entry)}" for i in range(m)]))
+        out.append(("list", [(pick(entry) + " ").ljust(44, ".") + f" {3 * i + 1}" for i in range(m)]))
+        out.append(("list", [", ".join(pick(entry) for _ in range(m + 3)) + "."]))
+        out.append(("list", ["; ".join(pick(entry) for _ in range(m + 3))]))
         w = int(rng.integers(4, 7))
         rows = [[pick(head) for _ in range(w)]] + [[pick(cell) for _ in range(w)] for _ in range(m)]
-        out.append(("table", "csv", [",".join(r) for r in rows]))
-        out.append(("table", "csv", [";".join(r) for r in rows]))
-        out.append(("table", "tsv", ["\t".join(r) for r in rows]))
-        out.append(("table", "pipes", ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * w] + ["| " + " | ".join(r) + " |" for r in rows[1:]]))
-        out.append(("table", "grid", [x for r in rows for x in ("+" + ("-" * 17 + "+") * w, "|" + "".join(c.ljust(17) + "|" for c in r))]))
-        out.append(("table", "columns", ["".join(c.ljust(18) for c in r).rstrip() for r in rows]))
-        out.append(("table", "html", ["<table>" + "\n".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"]))
-        out[-1] = ("table", "html", out[-1][2][0].split("\n"))
-        signs = list("$@q|#%{}[]<>^*&~ ")
-        out.append(("junk", "signs", ["".join(pick(signs) for _ in range(60 * n))]))
-        code = {c: pick(list("RGCjt_qQ\\@{cH2fmX9!/+J$")) for c in "abcdefghijklmnopqrstuvwxyz ,."}
-        out.append(("junk", "cipher", ["".join(code.get(c, c) for c in text_of(en, n).lower())]))
-        out.append(("junk", "letters", [" ".join("".join(pick(list("bcdfghjklmnpqrstvwxz")) for _ in range(int(rng.integers(2, 12)))) for _ in range(30 * n))]))
-        out.append(("junk", "base64", ["".join(pick(alnum) for _ in range(76)) for _ in range(n * 2)]))
-        out.append(("junk", "base64_line", ["".join(pick(alnum) for _ in range(200 * n))]))
-        out.append(("junk", "hex", [f"{i * 16:08x}  " + " ".join(f"{int(rng.integers(256)):02x}" for _ in range(16)) for i in range(m)]))
-        out.append(("junk", "dump", ["{" + ",".join(f'"{"".join(pick(alnum) for _ in range(5))}":[{",".join(str(int(rng.integers(1000))) for _ in range(5))}]' for _ in range(m)) + "}"]))
-        out.append(("junk", "log", [f"2025-03-{int(rng.integers(10, 29))}T0{int(rng.integers(9))}:1{int(rng.integers(9))}:0{int(rng.integers(9))}Z {pick(['INFO', 'WARN', 'DEBUG'])} [{int(rng.integers(1 << 31)):08x}] {pick(['read_page', 'write_note', 'list_files'])} rc={int(rng.integers(3))} t={int(rng.integers(999))}" for _ in range(m)]))
-        out.append(("junk", "repeat_line", [" ".join([pick(["retry queue", "old key", "audit row"])] * (12 * n))]))
-        out.append(("junk", "repeat_lines", [pick(["retry queue", "old key", "audit row"])] * m * 3))
-        out.append(("junk", "broken", ["".join(pick(["\ufffd", "\ufffd", "Ã", "¤", "x", "\x00", "q", " "]) for _ in range(60 * n))]))
+        out.append(("table", [",".join(r) for r in rows]))
+        out.append(("table", [";".join(r) for r in rows]))
+        out.append(("table", ["\t".join(r) for r in rows]))
+        out.append(("table", ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * w] + ["| " + " | ".join(r) + " |" for r in rows[1:]]))
+        out.append(("table", [x for r in rows for x in ("+" + ("-" * 15 + "+") * w, "|" + "".join(c.ljust(15) + "|" for c in r))]))
+        out.append(("table", ["".join(c.ljust(16) for c in r).rstrip() for r in rows]))
+        out.append(("table", ("<table>" + "\n".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>").split("\n")))
+        out.append(("junk", ["".join(pick(list("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~ ")) for _ in range(60 * n))]))
+        code = dict(zip("abcdefghijklmnopqrstuvwxyz ,.", rng.permutation(list("ZXKQJVBPYGFWMUCLDRHSNIOATE7&3"))))
+        out.append(("junk", ["".join(code.get(c, c) for c in text_of(en, n).lower())]))
+        out.append(("junk", [" ".join(word(list("bcdfghjklmnpqrstvwxz"), 2, 12) for _ in range(30 * n))]))
+        out.append(("junk", [word(alnum, 76, 77) for _ in range(n * 2)]))
+        out.append(("junk", [word(alnum, 200 * n, 200 * n + 1)]))
+        out.append(("junk", [f"{i * 16:08x}  " + " ".join(f"{int(rng.integers(256)):02x}" for _ in range(16)) for i in range(m)]))
+        out.append(("junk", ["{" + ",".join(f'"{word(alnum, 5, 6)}":[{",".join(str(int(rng.integers(1000))) for _ in range(5))}]' for _ in range(m)) + "}"]))
+        out.append(("junk", [f"{int(rng.integers(1990, 2030))}-0{int(rng.integers(1, 10))}-1{int(rng.integers(9))} 1{int(rng.integers(9))}:2{int(rng.integers(9))}:0{int(rng.integers(9))} {pick(['ERROR', 'INFO', 'TRACE'])} pid={int(rng.integers(9999))} [{word(list('0123456789abcdef'), 8, 9)}] {pick(['disk', 'net', 'boot'])}: code {int(rng.integers(99))} after {int(rng.integers(999))}ms" for _ in range(m)]))
+        again = pick(["buy now", "la la la", "click here for more", "the end"])
+        out.append(("junk", [" ".join([again] * (16 * n))]))
+        out.append(("junk", [again] * m * 3))
+        out.append(("junk", ["".join(pick(["\ufffd", "\ufffd", "\u00d0", "\u00b1", "e", "\x01", "K", " "]) for _ in range(60 * n))]))
     return out
 
 
@@ -266,89 +269,101 @@ def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Mixture:
     """Gaussian mixture with diagonal covariances on standardised statistics."""
 
-    def __init__(self):
-        ex = examples()
-        self.kinds = [k for k, _, _ in ex]
-        self.x = np.array([block_statistics(lines) for _, _, lines in ex])
-        self.sorts = sorted({(k, s) for k, s, _ in ex})
-        self.member = np.array([[(k, s) == c for c in self.sorts] for k, s, _ in ex], dtype=float)
-
-    def start(self, mean: np.ndarray, std: np.ndarray) -> None:
+    def __init__(self, mean: np.ndarray, std: np.ndarray):
         self.mean0, self.std0 = mean, np.maximum(std, 1e-6)
-        z = (self.x - self.mean0) / self.std0
-        n = self.member.sum(0)[:, None]
-        self.mu = self.member.T @ z / n
-        self.var = np.maximum(self.member.T @ (z * z) / n - self.mu**2, 0) + 0.3
-        self.pi = np.full(len(self.sorts), 1 / len(self.sorts))
-        self.z = z
-
-    def posterior(self, z: np.ndarray) -> np.ndarray:
-        logp = np.log(self.pi) - 0.5 * np.log(self.var).sum(1) - 0.5 * ((z * z) @ (1 / self.var).T - 2 * z @ (self.mu / self.var).T + (self.mu**2 / self.var).sum(1))
-        logp -= logp.max(1, keepdims=True)
-        p = np.exp(logp)
-        return p / p.sum(1, keepdims=True)
+
+    def start(self, sample: np.ndarray, components: int, seed: int) -> None:
+        """k-means++: every further centre is drawn with a chance that grows with the squared distance to those before."""
+        rng = np.random.default_rng(seed)
+        centres = [sample[rng.integers(len(sample))]]
+        far = ((sample - centres[0]) ** 2).sum(1)
+        while len(centres) < components and far.sum() > 1e-9:
+            centres.append(sample[rng.choice(len(sample), p=far / far.sum())])
+            far = np.minimum(far, ((sample - centres[-1]) ** 2).sum(1))
+        self.mu = np.array(centres)
+        self.var = np.full_like(self.mu, 0.5)
+        self.pi = np.full(len(centres), 1 / len(centres))
+
+    def posterior(self, z: np.ndarray) -> tuple[np.ndarray, float]:
+        """Responsibilities of the components, and the sum of the log-likelihoods."""
+        logp = np.log(self.pi) - 0.5 * np.log(2 * np.pi * self.var).sum(1) - 0.5 * ((z * z) @ (1 / self.var).T - 2 * z @ (self.mu / self.var).T + (self.mu**2 / self.var).sum(1))
+        top = logp.max(1, keepdims=True)
+        p = np.exp(logp - top)
+        total = p.sum(1, keepdims=True)
+        return p / total, float((top + np.log(total)).sum())
 
     def maximise(self, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> None:
-        """From counts, sums and sums of squares per component; the examples of a sort count as EXAMPLE_SHARE of all blocks."""
-        m = self.member / self.member.sum(0) * EXAMPLE_SHARE * max(n.sum(), 1.0)
-        n, s, q = n + m.sum(0), s + m.T @ self.z, q + m.T @ (self.z**2)
-        self.pi = n / n.sum()
-        self.mu = s / n[:, None]
-        self.var = np.maximum(q / n[:, None] - self.mu**2, 0) + FLOOR
+        """From counts, sums and sums of squares per component; one that has less than a block keeps its place."""
+        own, n1 = (n > 1)[:, None], np.maximum(n, 1e-9)[:, None]
+        mu = s / n1
+        self.mu, self.var = np.where(own, mu, self.mu), np.where(own, np.maximum(q / n1 - mu**2, 0) + FLOOR, self.var)
+        self.pi = np.maximum(n, 1e-3) / np.maximum(n, 1e-3).sum()
 
     def kind_of_component(self) -> np.ndarray:
-        """Component x kind: shares of the examples' responsibilities."""
-        r = self.posterior(self.z)
-        k = np.array([[a == b for b in KINDS] for a in self.kinds], dtype=float)
-        w = r.T @ (k / k.sum(0))
-        return w / np.maximum(w.sum(1, keepdims=True), 1e-12)
-
-
-def fit(stats: DataFrame, steps: int = EM_STEPS) -> Mixture:
-    """Expectation-maximisation over all blocks; every step gathers components x statistics sums."""
-    m = Mixture()
-    aggs = [f(F.col(c)).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    row = stats.agg(*aggs).first()
-    ex_mean, ex_std = m.x.mean(0), m.x.std(0)
-    mean = np.array([row[f"m_{c}"] if row[f"m_{c}"] is not None else ex_mean[i] for i, c in enumerate(FEATURES)])
-    std = np.array([row[f"s_{c}"] or ex_std[i] or 1.0 for i, c in enumerate(FEATURES)])
-    m.start(mean, np.maximum(std, 0.25 * ex_std))
-    d = len(FEATURES)
-    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("n", T.DoubleType()), *[T.StructField(f"{p}{i}", T.DoubleType()) for p in "sq" for i in range(d)]])
+        """Component x kind: votes of the examples nearest to its mean, in standardised statistics."""
+        ex = examples()
+        z = (np.array([block_statistics(lines) for _, lines in ex]) - self.mean0) / self.std0
+        kinds = np.array([KINDS.index(k) for k, _ in ex])
+        out = np.zeros((len(self.mu), len(KINDS)))
+        for c, mu in enumerate(self.mu):
+            far = ((z - mu) ** 2).sum(1)
+            near = np.argsort(far, kind="stable")[:NEAREST]
+            out[c] = np.bincount(kinds[near], 1 / (far[near] + 0.5), len(KINDS))
+        return out / out.sum(1, keepdims=True)
+
+
+def fit(stats: DataFrame, steps: int = EM_STEPS, seed: int = 1) -> Mixture | None:
+    """Expectation-maximisation over all blocks; every step gathers components x statistics sums. None without blocks."""
+    d, columns = len(FEATURES), list(FEATURES)
+    row = stats.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c)).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if not row["n"]:
+        return None
+    m = Mixture(np.array([row[f"m_{c}"] for c in FEATURES]), np.array([row[f"s_{c}"] for c in FEATURES]))
+    share = min(1.0, SAMPLE / row["n"])
+    drawn = stats.where(F.pmod(F.xxhash64("doc_id", "chars", *columns), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select(*columns).toPandas()
+    drawn = drawn if len(drawn) else stats.select(*columns).limit(1).toPandas()
+    m.start((drawn.sort_values(columns).to_numpy() - m.mean0) / m.std0, COMPONENTS, seed)
+    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("n", T.DoubleType()), *[T.StructField(f"{p}{i}", T.DoubleType()) for p in "sq" for i in range(d)], T.StructField("ll", T.DoubleType())])
+    before = None
     for _ in range(steps):
         shared = stats.sparkSession.sparkContext.broadcast(m)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             g = shared.value
-            k = len(g.sorts)
-            n, s, q = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
+            k = len(g.pi)
+            n, s, q, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), np.zeros(k)
             for df in batches:
-                z = (df[list(FEATURES)].to_numpy() - g.mean0) / g.std0
-                r = g.posterior(z)
+                z = (df[columns].to_numpy() - g.mean0) / g.std0
+                r, log = g.posterior(z)
                 n, s, q = n + r.sum(0), s + r.T @ z, q + r.T @ (z * z)
-            yield pd.DataFrame(np.column_stack([np.arange(k), n, s, q]), columns=schema.names).astype({"c": "int32"})
-
-        sums = stats.select(*FEATURES).mapInPandas(expect, schema).groupBy("c").agg(*[F.sum(x).alias(x) for x in schema.names[1:]]).orderBy("c").toPandas()
-        if len(sums):
-            m.maximise(sums["n"].to_numpy(), sums[[f"s{i}" for i in range(d)]].to_numpy(), sums[[f"q{i}" for i in range(d)]].to_numpy())
+                ll[0] += log
+            yield pd.DataFrame(np.column_stack([np.arange(k), n, s, q, ll]), columns=schema.names).astype({"c": "int32"})
+
+        sums = stats.select(*columns).mapInPandas(expect, schema).groupBy("c").agg(*[F.sum(x).alias(x) for x in schema.names[1:]]).orderBy("c").toPandas()
+        shared.unpersist()
+        m.maximise(sums["n"].to_numpy(), sums[[f"s{i}" for i in range(d)]].to_numpy(), sums[[f"q{i}" for i in range(d)]].to_numpy())
+        now = sums["ll"].sum() / row["n"]
+        if before is not None and now - before < TOLERANCE:
+            break
+        before = now
     return m
 
 
-def kind_shares(documents: DataFrame, steps: int = EM_STEPS) -> DataFrame:
-    """doc_id, row number of equal ids folded by the caller, and the characters of each kind."""
+def kind_shares(documents: DataFrame, steps: int = EM_STEPS, seed: int = 1) -> DataFrame:
+    """doc_id and the characters of each kind."""
     stats = written(documents.select("doc_id", "text").mapInPandas(_blocks_of, _BLOCK), "quality")
-    m = fit(stats, steps)
-    named = m.kind_of_component()
-    shared = stats.sparkSession.sparkContext.broadcast((m, named))
+    m = fit(stats, steps, seed)
+    shared = stats.sparkSession.sparkContext.broadcast((m, m.kind_of_component() if m else None))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(k, T.DoubleType()) for k in KINDS]])
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, names = shared.value
         for df in batches:
-            p = g.posterior((df[list(FEATURES)].to_numpy() - g.mean0) / g.std0) @ names
+            if not len(df):
+                continue
+            p = g.posterior((df[list(FEATURES)].to_numpy() - g.mean0) / g.std0)[0] @ names
             best = np.zeros_like(p)
-            if len(p):
-                best[np.arange(len(p)), p.argmax(1)] = df["chars"].to_numpy()
+            best[np.arange(len(p)), p.argmax(1)] = df["chars"].to_numpy()
             out = pd.DataFrame(best, columns=list(KINDS))
             out.insert(0, "doc_id", df["doc_id"].to_numpy())
             yield out
@@ -356,9 +371,9 @@ def kind_shares(documents: DataFrame, steps: int = EM_STEPS) -> DataFrame:
     return stats.mapInPandas(label, schema).groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
-def text_kinds(documents: DataFrame, steps: int = EM_STEPS) -> DataFrame:
+def text_kinds(documents: DataFrame, steps: int = EM_STEPS, seed: int = 1) -> DataFrame:
     """doc_id and text_kind of the documents that are not prose by the larger part of their characters."""
-    shares = kind_shares(documents, steps)
+    shares = kind_shares(documents, steps, seed)
     other = [F.col(k) for k in KINDS if k != "prose"]
     most = F.greatest(*other)
     kind = F.when(F.col("prose") >= sum(other[1:], other[0]), "prose").when(F.col("list") == most, "list").when(F.col("table") == most, "table").otherwise("junk")
