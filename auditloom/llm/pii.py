@@ -2,12 +2,14 @@
 
 1. Generators of high recall propose spans, overlapping ones included: emails in plain and disguised spelling,
    groups of digits as phones and as identity numbers, streets and post boxes, pairs of capitalised words. A
-   filter inside the JVM keeps texts without any such material away from Python.
+   filter inside the JVM keeps texts away from Python that cannot have a candidate: it asks less than the generators do, in every
+   alternative, and lets all texts with escapes or invisible characters pass.
 2. Every candidate gets format and context features. Gradient-boosted trees (Spark ML), fitted on a bounded
-   sample of labelled texts that ``labelled`` writes from templates, score all candidates.
+   sample of labelled texts that ``labelled`` writes, score all candidates. The texts are put together from lead-ins, values and
+   endings of everyday correspondence and operations, written without regard to any corpus.
 3. On held-out labelled texts a threshold per kind is calibrated; what passes is chosen, overlaps go to the better score.
 
-The text is read whole, JSON escapes (\\\\n, \\\\uXXXX) are understood, offsets refer to the stored text. ``redact``
+The text is read whole, JSON escapes (\\n, \\uXXXX) are understood, offsets refer to the stored text. ``redact``
 replaces the chosen spans by typed placeholders and leaves everything else as it was.
 
 Defined cases: null and empty texts have no findings and no row in the result of ``redacted``; broken JSON is plain text; repeated rows
@@ -28,20 +30,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.session import written
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-SAMPLE_TEXTS = 4_500  # bound of the labelled sample
-TREES, DEPTH = 30, 5
+SAMPLE_TEXTS = 24_000  # bound of the labelled sample
+TREES, DEPTH = 50, 5
 
 # ---- candidates -------------------------------------------------------------------------------------------------
 
-_CAP = r"[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ'’]*(?:-[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ'’]*)*"
-_WORD = r"[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Ý][A-Za-zÀ-ÖØ-öø-ÿ'’]+)*"
+# letters of the Latin, Greek and Cyrillic blocks
+_UP = "".join(chr(c) for c in range(0x530) if chr(c).isupper())
+_ABC = "".join(chr(c) for c in range(0x530) if chr(c).isupper() or chr(c).islower()) + "'’"
+_CAP = rf"[{_UP}][{_ABC}]*(?:-[{_UP}][{_ABC}]*)*"
+_WORD = rf"[{_UP}][{_ABC}]+(?:-[{_UP}][{_ABC}]+)*"
 _LOCAL = r"(?<![A-Za-z0-9._+\-*])[A-Za-z0-9][A-Za-z0-9._+\-]*"
 _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 EMAIL = re.compile(
     rf"{_LOCAL}(?:(?:@|＠|%40){_HOST}(?:\.{_HOST})+|\s?(?:\(at\)|\[at\]|\{{at\}}|<at>)\s?{_HOST}(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{{dot\}})\s?){_HOST})+|\s+at\s+{_HOST}(?:\s+dot\s+{_HOST})+)", re.I
 )
 DIGITS = re.compile(r"(?<![\w.])(?:\+|\(?0|\(?\d)[\d()]*(?:(?: ?\(0\) ?|[ .\-/]{1,2}|\) ?| \()\(?\d+\)?)*(?:\s?(?:ext\.?|x|extension)\s?\d{1,5})?(?!\w)")
+_AT = re.compile(r"[(\[{<]at[)\]}>]|\sat\s", re.I)
 IDS = re.compile(
     r"(?<![\w\-.])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{9}|\d{4}[ \-]\d{4}[ \-]\d{4}|\d{12}|\d{11}|\d{3}[ .]\d{3}[ .]\d{3}(?:[\- ]\d{2})?"
     r"|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,2}-?\d{6,9}[A-Z]?|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{2}[A-Z]\d{5}|\d{8}-?[A-Z])(?![\w\-]|\.\d)"
@@ -60,16 +68,17 @@ ADDRESS_UPPER = re.compile(rf"(?<![\w\-.])\d{{1,5}}[a-zA-Z]? (?:[A-ZÀ-Ý]{{3,}}
 ADDRESS_TITLE = re.compile(
     rf"(?:\b(?:Flat|Apt|Unit|Suite|Apartment)\.? \d+[a-z]?, ?)?(?<![\w\-.])\d{{1,5}}[a-z]?,? (?:[NSEW]\. )?(?:{_WORD} ){{1,2}}(?:{'|'.join(w.title() for w in _STREET.split('|'))})\b\.?{_UNIT}"
 )
-NAME_START = re.compile(r"(?<![\wÀ-ÿ@＠.'’\-/\\])(?=[A-ZÀ-ÖØ-Ý])")
-NAME = re.compile(rf"(?:{_WORD},[ ]{_WORD}(?: [A-Z]\.(?!\w))?|{_WORD},[ ][A-Z]\.(?!\w)|(?:[A-Z]\. ?){{1,2}}{_WORD}|{_WORD} (?:[A-Z]\. )?{_WORD})(?![\wÀ-ÿ]|[@＠]|%40)")
-
-#: Texts without any of these have no candidates; evaluated inside the JVM.
-PREFILTER = (
-    r"[@＠]|%40|\\u(?i:ff20|0040)|[(\[{<]at[)\]}>]| at \S{1,80} dot "
-    r"|\d[\d ().\-/]{6,}\d|[A-Z]{1,2} ?-?\d{2}"
-    r"|\d[a-z]?,? (?:[A-Z]|rue |bis |avenue |place )|[A-Z][^ ]{0,80},? \d|(?i:box|postfach) \d"
-    r"|[A-ZÀ-Ý][^ /|=:]{0,80},? (?:[A-Z]\. ?)?[A-ZÀ-Ý]|[A-Z]\.[A-ZÀ-Ý]"
-)
+NAME_START = re.compile(rf"(?<![\w@＠.'’\-/\\])(?=[{_UP}])")
+NAME = re.compile(rf"(?:{_WORD},[ ]{_WORD}(?: [{_UP}]\.(?!\w))?|{_WORD},[ ][{_UP}]\.(?!\w)|(?:[{_UP}]\. ?){{1,2}}{_WORD}|{_WORD} (?:[{_UP}]\. )?{_WORD})(?!\w|[@＠]|%40)")
+
+#: Texts without any of these have no candidates; evaluated inside the JVM. Every alternative is implied by a generator's.
+PREFILTER = "|".join([
+    r"[@＠\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]|%40|\\u[0-9a-fA-F]{4}",  # emails; what stands for another character
+    r"(?i:[(\[{<]at[)\]}>])|(?i:(?:[\s\p{Z}\x1c-\x1f\x85]|\\[nrt])at(?:[\s\p{Z}\x1c-\x1f\x85]|\\[nrt]))",
+    r"\p{Nd}[\p{Nd} ().\-/\\]{5,}\p{Nd}|\p{Nd}\)?(?:[\s\p{Z}\x1c-\x1f\x85]|\\[nrt])?(?:ext|x)|[A-Z]{1,2} ?-?\p{Nd}{2}",  # digits in groups, with an extension, after letters
+    r"\p{Nd}[a-zA-Z]?,? (?:\p{Lu}|bis |rue |avenue |boulevard |place |chemin |impasse )",  # number and street
+    r"(?:(?<!\p{L})|(?<=\\[nrt]))\p{Lu}\p{L}*+\.?,? [\p{Lu}\p{Nd}]|['’]\p{L}*+\.?,? [\p{Lu}\p{Nd}]|\p{Lu}\. ?\p{Lu}",  # street and number; two names
+])
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrt\"/\\]))|[\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _PLAIN = {"n": "\n", "r": "\n", "t": "\t", '"': '"', "/": "/", "\\": "\\"}
@@ -99,7 +108,7 @@ def unescape(text: str) -> tuple[str, list[int] | None]:
 def candidates(t: str) -> list[tuple[int, int, int]]:
     """(start, end, kind index) of every span that could be personal information."""
     out = set()
-    if "@" in t or "＠" in t or "%40" in t or " at " in t or "at)" in t or "at]" in t or "at}" in t or "at>" in t:
+    if "@" in t or "＠" in t or "%40" in t or _AT.search(t):
         for m in EMAIL.finditer(t):
             out.add((m.start(), m.end(), 0))
     mails = [(a, b) for a, b, _ in out]
@@ -127,6 +136,8 @@ def candidates(t: str) -> list[tuple[int, int, int]]:
         n = NAME.match(t, m.start())
         if n and not any(a < n.end() and n.start() < b for a, b in mails):
             out.add((n.start(), n.end(), 4))
+            if n.group()[-2:] in ("'s", "’s"):
+                out.add((n.start(), n.end() - 2, 4))
     return sorted(out)
 
 
@@ -134,35 +145,38 @@ def candidates(t: str) -> list[tuple[int, int, int]]:
 
 # Words that introduce or follow a kind of value.
 CUES = {
-    "phone": "phone tel telephone call mobile cell fax callback text caller dial ring number reach hotline whatsapp sms on-call",
-    "id": "ssn social security insurance ni nino passport identity card tax id tin aadhaar national licence license identification personal pan nif dni steuer holder applicant verify form scan",
-    "address": "address lives live office deliver ship visit parcel moved resident street billing located mail send home at",
-    "name": "by dr mr mrs ms prof author name dear hi hello thanks regards contact owner signed-off-by patient account behalf ask pair assigned reported why did from for to of caller customer colleague manager employee",
-    "technical": "ticket order section lane port epoch version commit build revision count line page call item step port row id hash checksum invoice sku chapter release address0x code gateway column table issue bug batch",
+    "phone": "phone tel telephone call calls mobile cell fax callback text caller dial ring number reach hotline whatsapp sms handset voicemail landline switchboard",
+    "id": "ssn social security insurance ni nino passport identity card tax id tin aadhaar national licence license identification personal pan nif dni holder applicant citizen",
+    "address": "address lives live office deliver ship visit moved resident street billing located mail send home at residence delivery flat house apartment warehouse studio collect",
+    "name": "by dr mr mrs ms prof author name dear hi hello thanks regards contact owner signed-off-by patient account behalf ask assigned reported from for to caller customer colleague manager employee with attn signed approver tenant nurse tutor herr frau",
+    "technical": "ticket order section port epoch version commit build revision count line page item step row id hash checksum invoice chapter release code column table issue bug batch serial part meter tracking model lot frame job flight isbn barcode",
 }
 _CUE = {k: frozenset(v.split()) for k, v in CUES.items()}
-# Everyday and technical nouns that a family name is not.
+# Common nouns and adjectives of titles, organisations, places and products, in alphabetical order.
 NOUNS = frozenset(
-    "index ledger access gateway forward review file files data service store report system server client project team table board house bridge street road lane drive avenue square park "
-    "bay port haven harbor harbour way guide plan book page code name names test note notes issue ticket order section model session token key cache queue log list request rate user users account "
-    "number card security insurance box field column status error warning policy rule scope grant search engine api json http sql id date time day week month year city state country company inc ltd llc "
-    "university school bank group department office manager director north south east west new old red blue green black white gold silver first second third last next monday tuesday wednesday "
-    "thursday friday saturday sunday english german french spanish cloud studio desk center centre core hub "
-    "steps questions practices world handling denied york letter notifications only data big hello notes best open next push pull read dead hot cold main menu home start stop help steps contents table summary overview details settings options "
-    "panel view mode layer worker agent runner proxy router broker monitor dashboard pipeline release version update upgrade patch build branch commit merge push pull".split()
+    "access account admin agency agent annual api app archive area avenue back bank base bay beach big black blue board book box branch bridge build bus business cache calendar candidate card castle centre center central "
+    "chapter city client cloud club code college company content contents core council county court crew customer daily dashboard data database date day dead department desk design disk district east editor email engine english error event "
+    "express field file files final first forest form french front garden gate gateway general german global gold grand great green group guide hall harbor harbour head health help high home host house hub index institute "
+    "island item job journal kernel key keys kit lab lake last layer learning ledger letter library light line list local log logs long los low machine mail main manager map market media memory menu message meta mobile mode model "
+    "month mountain museum names nations network new news next night node north notes notice office old only open order page park part password path plan point policy port press primary private product profile project public queue "
+    "quick read record red region release report request results review river road role royal rule saint sample san school screen sea search second section security server service session shop silver site small social south space spanish "
+    "square staff star start state station status step stop storage store story stream street studio summary support system table task team test theatre time token tools top tour tower town trade user valley version view "
+    "village virtual wall water web week west white widget window wood work world year zone".split()
 )
+_NOUN_END = re.compile(r"(?:tions?|sions?|ments?|ness|ities|ity|ware|ology|ances?|ences?|ship|ics|ings?|tories|ages|ables|ers|ors)\Z")
 _TOKENS = re.compile(r"[A-Za-zÀ-ÿ][\wÀ-ÿ\-]*|\d+|[^\w\s]")
 FEATURES = (
     *[f"is_{k}" for k in KINDS], "length", "digits", "groups", "first_group", "second_group", "last_group", "plus", "paren", "dashes", "spaces", "dots", "slashes", "lead_zero", "ext", "ssn_shape", "ni_shape", "four_shape", "letter_digits", "nine_digits",
-    "street_word", "box", "unit", "number_first", "city", "lower_street", "words", "initials", "comma", "hyphens", "upper", "noun_first", "noun_last", "short_last", "digit_host", "alpha_tld", "disguised",
-    *[f"before_{k}" for k in CUES], *[f"after_{k}" for k in CUES], "prev_at", "prev_colon", "prev_equals", "prev_pipe", "prev_paren", "prev_start", "prev_digit", "prev_the", "prev_slash", "prev_capital", "next_colon", "next_at", "next_pipe", "next_lt", "next_end",
+    "street_word", "box", "unit", "number_first", "city", "lower_street", "words", "initials", "comma", "hyphens", "upper", "noun_first", "noun_last", "ending_first", "ending_last", "cue_first", "short_last", "digit_host", "alpha_tld", "disguised",
+    *[f"before_{k}" for k in CUES], *[f"after_{k}" for k in CUES], "prev_at", "prev_colon", "prev_equals", "prev_pipe", "prev_paren", "prev_start", "prev_digit", "prev_the", "prev_slash", "prev_capital", "prev_lead", "prev_joint", "next_colon", "next_at", "next_pipe", "next_lt", "next_end",
     "next_verb", "next_to", "next_and", "next_slash", "next_digit", "in_address", "near_mail",
 )
 _IX = {f: i for i, f in enumerate(FEATURES)}
 _CLAUSE_END = re.compile(r"[\n;]|(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bMs)(?<!\bno)\. | - ")
 _NO_STREET = re.compile(r"(?:section|chapter|lane|page|order|ticket|step|version|part|item) \Z", re.I)
 _GREETING = frozenset("thanks thank hi hello dear regards sincerely best cheers".split())
-_VERBS = frozenset("wants approved said get gets is was has asked needs will lost cannot before on called wrote left lives and".split())
+_LEAD_WORDS = _CUE["name"] | _GREETING | frozenset("professor doctor sir madam tell call meet please employee resident client guest".split())
+_VERBS = frozenset("is was has had will would can could cannot says said writes wrote asks asked tells told calls called wants wanted needs needed left joined moved works worked lives lived signed approved sent got gets agreed thinks before and".split())
 
 
 def features(t: str, spans: list[tuple[int, int, int]]) -> list[list[float]]:
@@ -219,6 +233,9 @@ def features(t: str, spans: list[tuple[int, int, int]]) -> list[list[float]]:
             put("upper", v.upper() == v)
             put("noun_first", low[0] in NOUNS)
             put("noun_last", low[-1] in NOUNS)
+            put("cue_first", low[0] in _LEAD_WORDS)
+            put("ending_first", bool(_NOUN_END.search(low[0])))
+            put("ending_last", bool(_NOUN_END.search(low[-1])))
             put("short_last", len(low[-1]) <= 3)
             put("in_address", any(p < b and a < q for p, q in addresses))
             put("near_mail", any(0 <= p - b <= 14 for p, _ in mails))
@@ -247,6 +264,8 @@ def features(t: str, spans: list[tuple[int, int, int]]) -> list[list[float]]:
         put("prev_digit", p.isdigit())
         put("prev_the", p.lower() in ("the", "a", "an", "see", "section"))
         put("prev_slash", t[a - 1 : a] in ("/", "\\", "_"))
+        put("prev_lead", p.lower() in _LEAD_WORDS)
+        put("prev_joint", p.lower() in ("and", "or", "und", "y", "et"))
         put("prev_capital", bool(p) and p[0].isupper())
         put("next_colon", n == ":" and not t[b : b + 2].endswith(" "))
         put("next_at", n in ("@", "＠"))
@@ -272,16 +291,38 @@ _CITIES = "Ravensburgh|Lower Thornby|Santa Molina|Grünfeld|Ostmark Bay|Bad Lind
 _TITLES = "Street|Road|Rd|Avenue|Ave.|Boulevard|Lane|Drive|Close|Court|Place|Square|Terrace|St.".split("|")
 _HOSTS = "northgale brightwell mailbox.cedarline oak-harbour post.silverfen quayside lantern.westmoor".split()
 _TLD = "example test invalid org net com".split()
-_PLACE_NAMES = "the {s} Gateway|the {s} Bridge|section {n} Next Steps|section {n} Open Questions|Page {n} Table Of Contents|{f} Index and {f} Ledger are code names|{f} Board is the new panel|Grant Access to files|Push Notifications for admins|Read Only mode|Big Data team|New York office hours|see Release Notes|Pull Request {n}|Error Handling in {p}|lane {n} of the {s} Harbor|chapter {n} Best Practices|Hello World in {p}|Access Denied for the worker|the Risk Engine and the Search Service|Dead Letter Queue grows|Last Name column is masked|First Name and Last Name are required"
-_TECH = "order {n}-{m}-{n} failed|ticket {y}-{m}-{m} is closed|ticket {n}0-{m}-{d} is closed|call count {d}.{n}.{n}.{d}|version {d}.{m}.{n}.{d}|epoch {e} looks off|address 0x{h} was freed|commit {h}{h}|bump pkg@{d}.{m}.{d}|clone git@forge.{host}:tools/core.git first|mail to m***@{host}.example bounced|handle @night_{w} in the thread|the decorator @app.{w} in {p} is wrong|port {n} answers after {m} users|SSN column must stay hashed|phone field is empty|owner was [EMAIL_REDACTED]|name=[NAME] phone=[PHONE]|Author: build-bot <[EMAIL]>|invoice {y}-{n}-{n} paid|{n} matches in {p}, {m} skipped|sku {n}-{n}-{n} is gone|build {e} passed|job {n}{n}{m} took {n} ms|timestamp {y}-{m}-{m} {m}:{m}:{m}|range {n}-{n} of {n}|isbn {n}-{d}-{n}-{n}-{d}|the PO boxes are full|will mark {n} files|ip 10.{m}.{m}.{d}|row {n} {n} {n} of the matrix|card ending {n}|batch {n} {m} {n} done|release {m}.{m}.{n}|revision {h} of {p}|ratio {d}.{n}"
-_PLAIN_TEXT = "compare {p} with {p}|Review {p} and merge the late files|I need to count rows after midnight|explain why the worker drops a stale token|check whether read_page may open the report|list sessions older than {n} days|show the last {n} rows in {p}|summarise the pending alerts of the cache layer|find every job that the scheduler retried|Please restart {p} when the queue drains|Why does {p} fail|Update the docs of {p}"
-_BY_KIND = {
-    "email": "because {v} cannot log in|mailto:{v}|contact: {v}|cc {v} on the reply|user {v} lost access|login={v}&retry=1|owner={v}|send the report to {v}|reply-to <{v}>|{v} asked for this|I am {v} on the portal|the mailbox {v} is full|invite {v} to the space|write to {v} today|email {v}|from {v}|{v}",
-    "phone": "call me at {v}|phone: {v}|tel {v}|fax {v} is dead|my mobile is {v}|callback ({v})|text {v} if it fails|on-call phone {v}|they left {v} as a callback|reach the requester on {v}|dial {v}|the number is {v}|ring {v} after six|{v}|whatsapp {v}|caller {v} is waiting",
-    "id_number": "SSN {v}|holder SSN {v}|the customer wrote {v} in the ticket|form says {v}|verify {v} in the scan|check {v}|{v} belongs to the applicant|passport no. {v}|identity card {v}|NI number {v}|tax id {v}|national id: {v}|social security number is {v}|ssn={v}|Aadhaar {v}|insurance number {v}|holder {v}",
-    "address": "billing address {v}|deliver the laptop to {v}|address: {v}|lives at {v}|visit {v} for pickup|moved from {v} last week|the office at {v}|the parcel went to {v} by mistake|ship the badge to {v}|Address: {v}|send it to {v}|{v}|home is {v}|located at {v}",
-    "name": "reported by {v}|assigned to {v}|thanks, {v}|on behalf of {v}|why did {v} get a wider scope|the account of {v} is locked|patient file of {v}|ask {v} before merging|pair with {v} on the diff|{v} approved the consent|{v} said it worked yesterday|{v} wants the export|Dr. {v} wants the export|author={v}|Name: {v}|contact {v}|hello {v}|Author: {v} <{mail}>|Signed-off-by: {v} <{mail}>|{h}|{v}|{mail}|fix typo|{h} ({v}, {mail}) fix typo|export for {v} ({mail}) goes out|{v}|-- \n{v}|owner {v}",
+# Lead-ins and endings are put together freely; an empty one is as good as any.
+_LEADS = {
+    "email": "|||write to |forward it to |my new account is |bounced: |mailbox |user |login: |owner=|to: <|sent from |subscribe |please copy |registered as |recovery mail |invoices go to |mailto:|cc ",
+    "phone": "|||phone |tel. |mobile: |fax |you get me on |ring |dial |hotline |her number is |text me on |voicemail at |call |emergency contact |sms to |handset |phone=|after hours |front desk |direct line |the line is |is now |under ",
+    "address": "||lives in |delivery to |ship to |invoice address: |our office is |moving to |collect it from |the flat at |residence: |meet me at |branch at |send the parcels to |warehouse: |home address |located at |pick up from ",
+    "name": "|||with |signed |meeting with |Mr |Mrs |Dr. |Prof. |approver: |attn. |dear |Hi |tenant |the file of |forwarded by |written by |name: |author = |spoke to |thanks to |manager |nurse |ask |call |for |according to |caller |from |to |we miss |hired |tell |professor |thank |meet |employee |guest |{role} |{role} |our {role} |{role}, |tell |ask |hired {other} and |{other} and |{other}, |coached by |owner |did |why did |when does |where is |has |",
+}
+_ENDS = {
+    "email": "|||> |, please| is the right one| does not answer| got no invitation|; thanks| wants to know|&lang=en| has been disabled| should be removed|) |, not the old one",
+    "phone": "||| after lunch| on weekdays| (private)| is engaged| does not work|, ask for the desk| until noon|; thanks| or leave a message| was wrong|, thanks",
+    "address": "||| by Friday| is closed|, ring twice| (second door)| since May|; thanks| was damaged| or next door| please",
+    "name": "||| agreed| will join us on Monday| has left the company| is out of office| wrote this| (finance)|'s laptop| called twice| needs a badge| wants a refund| and the others| signed it|, accounting| was not there| asks for help| told me so| cannot print| joined in May| and {other}|, {other} and others| approve this?| pay twice?| leave early?| approved it",
+}
+_CARDS = "{v} <{mail}>|Reviewed-by: {v} <{mail}>|Committer: {v} <{mail}>|{v} ({mail})|{h};{v};{mail};typo|{h},{v},{mail}|{h} {v} <{mail}> docs|contact {v}, {mail}|{v}\n{addr}\n{tel}|{v}, {addr}, {tel}|{v}; {tel}; {mail}|Regards,\n{v}\n{addr}|{v}, {addr}|{v}, {tel}, SSN {ssn}|{v}, {addr}, SSN {ssn}|{addr}\n{tel}\n{v}|{v}, SSN {ssn}|{v}\n{tel}"
+_NUMBERS = {
+    "ssn": "SSN {v}|SSN: {v}|ssn={v}|social security no. {v}|her social is {v}|{v}|we need {v} for payroll|W-2 with {v}|tax id {v}|taxpayer {v}|TIN {v}|tax number: {v}|{v} is on the form|on file: {v}|please check {v}",
+    "bare": "SSN {v}|ssn={v}|social security no. {v}|TIN {v}|tax number {v}|SSN: {v} (payroll)",
+    "ni": "NI {v}|national insurance no. {v}|NINO: {v}|{v}|{v} is on the payslip|insured under {v}|insurance no. {v}|payslip says {v}",
+    "passport": "passport {v}|passport number {v}|travels on passport {v}|passport: {v}, valid to May|Passport no {v} was stolen",
+    "card": "identity card {v}|ID card no. {v}|identity document {v}|ID: {v} (copy attached)|personal id {v}|lost identity card {v}",
+    "aadhaar": "Aadhaar {v}|Aadhaar no. {v}|national identity no. {v}|national id {v}|Aadhaar: {v} (copy)|national ID number {v}",
 }
+_TECH = "order no. {n}-{m}-{n}|job {y}-{m}-{m} done|serial {n}-{n}-{n}|lot {n}{n}-{d}|took {d}.{n}.{n}.{d} hops|firmware {d}.{m}.{n}.{d}|at {e} the clock stopped|freed 0x{h}|merge {h}{h}|pin lib@{d}.{m}.{d}|git@{host}:apps/site.git is slow|s***@{host}.org is masked|follow @{w}_{w} there|@{w}.cached is a decorator|listens on {n} for {m} clients|the SSN field is hashed|no phone number on file|[EMAIL] was removed|phone [PHONE], name [NAME]|author bot <[EMAIL]>|invoice {y}/{n}/{n} is paid|{n} rows read, {m} kept|part {n}-{n}-{n}|build {e}|run {n}{n}{m} in {n} ms|{y}-{m}-{m} {m}:{m}:{m} start|pages {n}-{n} of {n}|ISBN {n}-{d}-{n}-{n}-{d}|our PO box is empty|{n} open items|host 10.{m}.{m}.{d}|ip {q}.{q}.{q}.{q}|{q}.{q}.{q}.{q} was blocked|from {q}.{q}.{q}.{d} on port {n}|matrix {n} {n} {n}|card no. ends in {n}|series {n} {m} {n}|tag {m}.{m}.{n}|hash {h} of {p}|factor {d}.{n}|meter {n} {n} {n} kWh|frame {n} x {n}|flight {n} at {m}:{m}|tracking {n}{n}{n}|id {n}-{n}-{n}|ref {m}/{n}/{n}|code {n}-{m}-{n} expired|barcode {n} {n} {n}|between {n} and {n} units|{m} Main Results|{n} New Items|{n} Old Entries, see below"
+_TITLES_OF = "the {a} {b}|see {A} {B}|{A} {B} in {p}|chapter {m} {A} {B}|section {m} {A} {B}|part {m}: {A} {B}|the {A} {B} team|{A} {B} is down|{A} {B} for beginners|a {A} {B} and a {A} {B}|page {m} {A} {B}|{A} {B} failed|open {A} {B}|{s} {B} is our product|the {s} {B}|{s} {B} and {s} {A} are products|{A} Name and {A} {B} are columns|from the {A} {B}|with {A} {B}|for {A} {B}|{A} {B}|to {A} {B} users|United {B}|Saint {s}burg|New {s}|{f} {B} and {f} {A} are nicknames of services|{f} {B} is a dashboard|lane {m} of the {s} {B}|the {A} {B} and the {A} {B}|{a} Learning|Best {B} of {y}"
+_PLAIN_TEXT = "please open {p}|what changed in {p}|compare the two drafts|sort these rows by date|list all late items|count the words in {p}|the page loads slowly|why is {p} so large|remove blank lines|the test is flaky since Monday|show me {n} recent entries|merge both tables|explain this error|nothing to report|update the docs|is {p} still in use|we ship on Friday|the lamp in room {m} is broken|see you at {m} past|Lunch is at noon|Try again Later"
+
+
+_SLOT_KIND = {"mail": 0, "tel": 1, "ssn": 2, "addr": 3, "other": 4}
+_SYLLABLES = "ka lo mi ra zen dor wei ang osh ber tal nik va so fe li jun ho mar ti gra el is an der son ov ek sky kim sa tu pol bri can dia car hel ost rin gu".split()
+_ROLES = "driver pilot chef judge clerk intern coach farmer editor deputy minister sister uncle aunt captain officer plumber trainee guide painter singer bishop mayor sergeant librarian architect student witness juror baker".split()
+_NOUN_LIST = sorted(NOUNS)
+_TITLE_WORDS = "learning virtual handling contents settings notifications practices questions options payments shipping training insurance software security finance statistics graphics ownership analysis weather kitchen harvest winter lantern forward deep dive wins lessons learned pros cons ideas caveats roadmap backlog scope cost risk checklist glossary appendix preface outlook recap basics tips tricks closing remarks early late better faster".split()
 
 
 class _Writer:
@@ -304,20 +345,27 @@ class _Writer:
     def slot(self, s: str) -> str:
         if s in ("n", "m", "d", "y", "e"):
             return {"n": lambda: str(self.n(100, 9999)), "m": lambda: str(self.n(10, 60)), "d": lambda: str(self.n(0, 10)), "y": lambda: str(self.n(2000, 2060)), "e": lambda: "1" + self.digits(self.n(9, 12))}[s]()
+        if s == "role":
+            return self.pick(_ROLES).title() if self.n(0, 3) else self.pick(_ROLES)
+        if s == "q":
+            return str(self.n(1, 256))
         if s == "h":
             return "".join(self.pick("0123456789abcdef") for _ in range(7))
+        if s in "aAbB":
+            w = self.pick(_NOUN_LIST) if self.n(0, 3) else self.pick(_TITLE_WORDS)
+            return w.title() if s.isupper() or self.n(0, 2) else w
         if s == "p":
-            return self.pick(["src/", "lib/", "config/", "server/"]) + self.pick(["main", "index", "watch", "loader"]) + self.pick([".py", ".ts", ".json", ".toml"])
+            return self.pick(["app/", "docs/", "tools/", "web/"]) + self.pick(["start", "menu", "cart", "notes"]) + self.pick([".py", ".ts", ".md", ".yml"])
         if s == "w":
-            return self.pick(["owl", "route", "fox", "hook"])
+            return self.pick(["heron", "lamp", "otter", "kite"])
         if s == "s":
             return self.pick(_STEMS)
         if s == "f":
             return self.pick(_FIRST)
         if s == "host":
             return self.pick(_HOSTS)
-        if s == "mail":
-            return self.email(plain=True)
+        if s in _SLOT_KIND:
+            return {"mail": lambda: self.email(plain=True), "tel": self.phone, "addr": self.address, "other": self.name, "ssn": lambda: f"{self.digits(3)}-{self.digits(2)}-{self.digits(4)}"}[s]()
         raise KeyError(s)
 
     def email(self, plain=False) -> str:
@@ -348,23 +396,21 @@ class _Writer:
 
     def id_number(self) -> tuple[str, list[str]]:
         d = self.digits
-        any_ctx = _BY_KIND["id_number"].split("|")
-        ssn = [c for c in any_ctx if not c.startswith(("passport", "identity", "NI", "Aadhaar", "national", "insurance"))]
         k = self.n(0, 8)
         if k < 2:
-            return f"9{d(2)}-{d(2)}-{d(4)}" if self.n(0, 2) else f"{d(3)}-{d(2)}-{d(4)}", ssn
+            return f"9{d(2)}-{d(2)}-{d(4)}" if self.n(0, 2) else f"{d(3)}-{d(2)}-{d(4)}", _NUMBERS["ssn"].split("|")
         if k == 2:
-            return f"{d(3)} {d(2)} {d(4)}", ["social security number is {v}", "SSN {v}", "the customer wrote social security number is {v} in the ticket"]
+            return f"{d(3)} {d(2)} {d(4)}", _NUMBERS["bare"].split("|")
         if k == 3:
-            return d(9), ["ssn={v}", "SSN {v}", "ssn {v} belongs to the applicant", "tax id {v}"]
+            return d(9), _NUMBERS["bare"].split("|")
         if k == 4:
             v = f"{self.pick(['QQ', 'AB', 'JK'])}{{0}}{d(2)}{{0}}{d(2)}{{0}}{d(2)}{{0}}{self.pick('ABCD')}".replace("{0}", self.pick(["", " "]))
-            return v, [c for c in any_ctx if not c.startswith(("SSN", "ssn", "holder SSN", "Aadhaar", "passport", "tax", "social"))]
+            return v, _NUMBERS["ni"].split("|")
         if k == 5:
-            return f"{self.pick('ACEKXYZ')}{d(self.n(7, 9))}", ["passport no. {v}", "holder passport no. {v}", "passport {v} expired", "check passport no. {v}", "passport no {v} belongs to the applicant"]
+            return f"{self.pick('ACEKXYZ')}{d(self.n(7, 9))}", _NUMBERS["passport"].split("|")
         if k == 6:
-            return f"{self.pick(['XX', 'LN', 'C'])}-{d(6)}", ["identity card {v}", "form says identity card {v}", "ID card {v}", "identity card {v} belongs to the applicant"]
-        return f"0{d(3)} {d(4)} {d(4)}", ["Aadhaar {v}", "national id: {v}", "form says Aadhaar {v}", "holder national id: {v}", "verify Aadhaar {v} in the scan"]
+            return f"{self.pick(['XX', 'LN', 'C'])}-{d(6)}", _NUMBERS["card"].split("|")
+        return f"0{d(3)} {d(4)} {d(4)}", _NUMBERS["aadhaar"].split("|")
 
     def address(self) -> str:
         street = self.pick(_STEMS) + self.pick(_TAILS)
@@ -377,7 +423,9 @@ class _Writer:
         return v
 
     def name(self) -> str:
-        f, last = self.pick(_FIRST), self.pick(_LAST) if self.n(0, 2) else self.pick(_STEMS) + self.pick(["sen", "elli", "ovich", "quist", "hardt", "combe", "uela", "ardsen"])
+        made = lambda: "".join(self.pick(_SYLLABLES) for _ in range(self.n(1, 4))).title()
+        f = self.pick(_FIRST) if self.n(0, 3) else made()
+        last = self.pick([lambda: self.pick(_LAST), made, made, lambda: self.pick(_STEMS) + self.pick(["sen", "elli", "ovich", "quist", "hardt", "combe", "uela", "ardsen"])])()
         return self.pick([
             lambda: f"{f} {last}", lambda: f"{f} {last}", lambda: f"{f} {last}", lambda: f"{f} {last}".upper(), lambda: f"{f}-{self.pick(_FIRST)} {last}", lambda: f"{f} {last}-{self.pick(_LAST)}", lambda: f"{last}, {f}", lambda: f"{f[0]}. {last}", lambda: f"{f} {self.pick('ABCDEFGHJKLM')}. {last}",
         ])()
@@ -389,13 +437,19 @@ class _Writer:
         if r < 42:
             return self.fill(self.pick(_TECH.split("|"))), []
         if r < 52:
-            return self.fill(self.pick(_PLACE_NAMES.split("|"))), []
+            return self.fill(self.pick(_TITLES_OF.split("|"))), []
         kind = self.pick(KINDS)
         if kind == "id_number":
             v, ctx = self.id_number()
         else:
             v, ctx = getattr(self, kind)(), None
-        template = self.pick(ctx) if ctx else self.pick(re.split(r"\|(?!\{|fix)", _BY_KIND[kind]) if kind == "name" else _BY_KIND[kind].split("|"))
+        if ctx:
+            template = self.pick(ctx)
+        elif kind == "name" and self.n(0, 4) == 0:
+            template = self.pick(_CARDS.split("|"))
+        else:
+            lead = self.pick(_LEADS[kind].split("|"))
+            template = (lead[:1].upper() + lead[1:] if self.n(0, 2) else lead) + "{v}" + self.pick(_ENDS[kind].split("|"))
         text, spans, at = "", [], 0
         for m in re.finditer(r"\{(\w+)\}", template):
             text += template[at : m.start()]
@@ -404,8 +458,8 @@ class _Writer:
                 text += v
             else:
                 part = self.slot(m.group(1))
-                if m.group(1) == "mail":
-                    spans.append((len(text), len(text) + len(part), 0))
+                if m.group(1) in _SLOT_KIND:
+                    spans.append((len(text), len(text) + len(part), _SLOT_KIND[m.group(1)]))
                 text += part
             at = m.end()
         return text + template[at:], spans
@@ -420,8 +474,8 @@ class _Writer:
             spans += [(a + len(out), b + len(out), k) for a, b, k in s]
             out += c
         if self.n(0, 3) == 0:
-            lead = self.pick(['{"query": "', '{"ticket": {"body": "', '{"answer": "', '{"note": "'])
-            return lead + out + self.pick(['", "top_k": 5}', '"}', ""]), [(a + len(lead), b + len(lead), k) for a, b, k in spans]
+            lead = self.pick(['{"text": "', '{"mail": {"content": "', '{"reply": "', '{"comment": "'])
+            return lead + out + self.pick(['", "limit": 9}', '"}', ""]), [(a + len(lead), b + len(lead), k) for a, b, k in spans]
         return out, spans
 
 
@@ -462,12 +516,15 @@ def fit(spark: SparkSession, n_texts: int = SAMPLE_TEXTS, seed: int = 11) -> tup
     if key in _FITTED:
         return _FITTED[key]
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("kind", T.IntegerType()), T.StructField("label", T.DoubleType())])
+    parts = max(3, n_texts // 1_500)
 
-    def frame(rows):
-        return spark.createDataFrame(pd.DataFrame(rows, columns=schema.names), schema).coalesce(2).withColumn("features", array_to_vector("x"))
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for part in df["id"]:
+                yield pd.DataFrame(labelled(seed * 1_000 + part, n_texts // parts), columns=schema.names).assign(held=part % 3 == 0)
 
-    held = n_texts // 3
-    train, test = frame(labelled(seed, n_texts - held)), frame(labelled(seed + 1, held))
+    sample = written(spark.range(0, parts, 1, parts).mapInPandas(write, T.StructType([*schema, T.StructField("held", T.BooleanType())])).withColumn("features", array_to_vector("x")), "labelled")
+    train, test = sample.where("NOT held").coalesce(4), sample.where("held")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=32, cacheNodeIds=False).fit(train)
     scored = model.transform(test).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
     thresholds = []
@@ -481,7 +538,7 @@ def fit(spark: SparkSession, n_texts: int = SAMPLE_TEXTS, seed: int = 11) -> tup
             f1 = 2 * tp / max(1, (part.p >= mid).sum() + (part.label == 1).sum())
             if f1 > best + 1e-9 or (abs(f1 - best) <= 1e-9 and abs(mid - 0.5) < abs(cut - 0.5)):
                 best, cut = f1, mid
-        thresholds.append(float(min(max(cut, 0.2), 0.8)))
+        thresholds.append(float(cut))
     _FITTED[key] = (model, thresholds)
     return _FITTED[key]
 

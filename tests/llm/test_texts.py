@@ -87,12 +87,6 @@ def test_generators_have_high_recall():
     assert miss <= 0.005 * n
 
 
-def test_prefilter_loses_no_candidate():
-    w = pii._Writer(78)
-    java = re.compile(pii.PREFILTER.replace("(?i:", "(?i:"))
-    assert all(java.search(t) for t, truth in (w.text() for _ in range(1500)) if truth)
-
-
 # ---- problem 4
 
 TEXTS = ["x" * 10_000, "\n" * 5_000, "ab " * 5_000, "a\n" * 3_000, "é" * 301, "a\r\n" * 999, "def f():\n    return 1\n\n\n" * 300, "", "short", "日本\n" * 500 + "x" * 5_000 + "\nlast"]
