@@ -43,35 +43,48 @@ def python_definitions(chunks: DataFrame) -> DataFrame:
     return chunks.where("lower(file_path) LIKE '%.py'").select("chunk_id", "content").mapInPandas(extract, DEFS)
 
 
-def _walk(value, rules, depth: int):
-    if depth > 10:
-        return "[MAX_DEPTH_EXCEEDED]"
-    if isinstance(value, dict):
-        return {k: _walk(v, rules, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_walk(v, rules, depth + 1) for v in value]
-    if isinstance(value, str):
-        for rx, marker in rules:
-            value = rx.sub(marker, value)
-    return value
+# Strings of JSON, and what follows a key.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_KEY_END = re.compile(r"\s*:")
+
+
+def clean_json(text: str, change) -> str:
+    """``text`` with ``change`` applied to every string value, at any depth; keys, numbers and layout stay as they are. The text is read
+    token by token, so there is no tree and no limit of depth."""
+
+    def value(m: re.Match) -> str:
+        if _KEY_END.match(text, m.end()):
+            return m.group()
+        old = json.loads(m.group(), strict=False)
+        new = change(old)
+        return m.group() if new == old else json.dumps(new, ensure_ascii=False)
+
+    return _STRING.sub(value, text)
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+        return True
+    except RecursionError:
+        return True  # too deep to build, not broken: strings are read one by one
+    except ValueError:
+        return False
 
 
 def sanitize_json(df: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """Redaction of the strings inside JSON of any shape; keys and structure stay. Broken JSON is treated as one string."""
+    """Redaction of the strings inside JSON of any shape and depth; keys and structure stay. Broken JSON is treated as one string."""
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("text", T.StringType())])
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(re.compile(p), m) for p, m in rules]
+
+        def change(value: str) -> str:
+            for rx, marker in compiled:
+                value = rx.sub(marker, value)
+            return value
+
         for b in batches:
-            out = []
-            for t in b[text]:
-                if t is None:
-                    out.append(None)
-                    continue
-                try:
-                    out.append(json.dumps(_walk(json.loads(t), compiled, 0), ensure_ascii=False))
-                except (ValueError, RecursionError):
-                    out.append(_walk(t, compiled, 0))
-            yield pd.DataFrame({key: b[key], "text": out})
+            yield pd.DataFrame({key: b[key], "text": [None if t is None else clean_json(t, change) if _is_json(t) else change(t) for t in b[text]]})
 
     return df.select(key, text).mapInPandas(clean, schema)

@@ -1,6 +1,6 @@
 """Problem 3: one row per entity with counts, recency and totals for every type of event.
 
-Types (tool x status) are encoded as indices by a dictionary of bounded size. Events fold to one row per entity
+Types (tool x status) are encoded as indices by a dictionary, which is a table. Events fold to one row per entity
 and index (map-side combine, so an entity or type with a third of all rows never gathers in one task), those to
 one row per entity with sparse vectors of index, count, total duration, anomalies and latest time. Sparse
 vectors are mergeable: ``merge`` adds counts and totals and keeps the later time, so daily vectors can be
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,27 @@ MAX_TYPES = 20_000
 MEASURES = ("n", "ms", "anomalies", "last_us")
 
 
+def type_names(tools: DataFrame) -> DataFrame:
+    """type: one row per tool x status, a table of any length."""
+    names = tools.select(canonical("tool_name").alias("t")).where("t IS NOT NULL AND t <> ''").distinct()
+    return names.select(F.explode(F.array(*[F.concat("t", F.lit(f"__{s}")) for s in STATUSES])).alias("type"))
+
+
+def type_index(tools: DataFrame) -> DataFrame:
+    """type and idx in order of the names; ``other`` is 0. Numbered inside hash buckets on top of the buckets' counts, so it is not one task's work."""
+    keyed = type_names(tools).withColumn("bucket", F.pmod(F.xxhash64("type"), F.lit(64)))
+    base = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = keyed.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("type")))
+    return inner.join(F.broadcast(base), "bucket").select("type", (F.col("base") + F.col("r")).cast("int").alias("idx"))
+
+
 def type_dictionary(tools: DataFrame) -> list[str]:
-    """Names of the types in order of their indices: tool x status, then other."""
-    names = [r[0] for r in tools.select(canonical("tool_name").alias("t")).where("t IS NOT NULL AND t <> ''").distinct().orderBy("t").limit(MAX_TYPES // len(STATUSES) + 1).collect()]
-    if len(names) * len(STATUSES) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} types")
-    return [f"{t}__{s}" for t in names for s in STATUSES] + ["other"]
+    """Names of the types in order of their indices, for the expansion into columns; a table cannot have more than ``MAX_TYPES`` x 4
+    of them. Beyond that the sparse vectors are the result: they have no such bound."""
+    rows = type_index(tools).orderBy("idx").limit(MAX_TYPES + 1).collect()
+    if len(rows) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types: columns cannot hold them, use sparse_vectors")
+    return ["other", *[r.type for r in rows]]
 
 
 def calls_once(events: DataFrame) -> DataFrame:
@@ -49,12 +64,14 @@ def calls_once(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "call", "us", "type").agg(F.max("ms").alias("ms"), F.max("anomaly").alias("anomaly"))
 
 
-def sparse_counts(events: DataFrame, tools: DataFrame) -> DataFrame:
-    """user_id, type, n, ms, anomalies, last_us; one row per entity and type that occurs."""
-    known = type_dictionary(tools)
-    index = events.sparkSession.createDataFrame(list(enumerate(known)), "idx int, type string")
-    typed = calls_once(events).join(F.broadcast(index), "type", "left").withColumn("idx", F.coalesce("idx", F.lit(len(known) - 1)))
-    return typed.groupBy("user_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), F.sum("anomaly").alias("anomalies"), F.max("us").alias("last_us"))
+def sparse_counts(events: DataFrame, tools: DataFrame, max_broadcast: int = MAX_TYPES) -> DataFrame:
+    """user_id, idx, type, n, ms, anomalies, last_us; one row per entity and type that occurs. The index is broadcast behind a check of its
+    length and shuffled beyond it."""
+    index = type_index(tools)
+    if index.limit(max_broadcast + 1).count() <= max_broadcast:
+        index = F.broadcast(index)
+    typed = calls_once(events).join(index, "type", "left").withColumns({"type": F.when(F.col("idx").isNull(), "other").otherwise(F.col("type")), "idx": F.coalesce("idx", F.lit(0))})
+    return typed.groupBy("user_id", "idx", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), F.sum("anomaly").alias("anomalies"), F.max("us").alias("last_us"))
 
 
 def sparse_vectors(counts: DataFrame) -> DataFrame:

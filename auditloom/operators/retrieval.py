@@ -40,6 +40,39 @@ def line_chunks(df: DataFrame, key: str, text: str, size: int = 30, step: int =
     return cut.select(key, (F.col("s") + 1).alias("start_line"), F.least(F.col("s") + size, F.size("l")).alias("end_line"), F.array_join(F.slice("l", F.col("s") + 1, size), "\n").alias("content"))
 
 
+def split_large(df: DataFrame, key: str, text: str, start: str, name: str, most: int = 1500, overlap: int = 3) -> DataFrame:
+    """Contents of more than ``most`` characters cut into windows of lines that overlap, numbered; name_partN where there is a name."""
+    size = max(20, most // 50)
+    step = size - overlap
+    large = df.where(F.char_length(text) > most).select(key, F.coalesce(start, F.lit(1)).alias("first"), F.col(name).alias("name"), F.split(F.col(text), "\n", -1).alias("l"))
+    cut = large.select(key, "first", "name", "l", F.explode(F.sequence(F.lit(0), F.size("l") - 1, F.lit(step))).alias("s"))
+    part = (F.col("s") / step).cast("int") + 1
+    return cut.select(
+        key, part.alias("part"), F.concat(F.col("name"), F.lit("_part"), part.cast("string")).alias("name"), (F.col("first") + F.col("s")).alias("start_line"),
+        (F.col("first") + F.least(F.col("s") + size, F.size("l")) - 1).alias("end_line"), F.array_join(F.slice("l", F.col("s") + 1, size), "\n").alias("content"),
+    )
+
+
+# Terms of code search and the words that a query with such a term is widened by.
+SYNONYMS = {
+    "function": "func method def", "class": "type struct interface", "error": "exception error fail bug", "test": "test spec unit", "config": "configuration settings options", "auth": "authentication authorization login", "db": "database sql query", "api": "endpoint route handler",
+}
+
+
+def expanded(query: Column) -> Column:
+    """The query and the synonyms of every term that it holds."""
+    low = F.lower(query)
+    return F.concat(query, *[F.when(F.contains(low, F.lit(term)), F.lit(" " + words)).otherwise("") for term, words in SYNONYMS.items()])
+
+
+FENCED = "```(?:json)?\\s*\\n?([\\s\\S]*?)\\n?```"
+
+
+def fenced(text: Column) -> Column:
+    """The inside of the first fenced block, else the text, without blanks around."""
+    return F.trim(F.when(F.rlike(text, F.lit(FENCED)), F.regexp_extract(text, FENCED, 1)).otherwise(text))
+
+
 def token_chunks(df: DataFrame, key: str, text: str, size: int = 500) -> DataFrame:
     """Chunks of ``size`` blank-separated tokens without overlap."""
     toks = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
@@ -58,6 +91,23 @@ def corpus(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.size(code_tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
 
 
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Tokenise once and write the index: lengths of all documents, postings sorted by token, and document frequencies."""
+    spark = docs.sparkSession
+    docs.select(key, code_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).write.parquet(f"{path}/tokens")
+    tokens = spark.read.parquet(f"{path}/tokens")
+    tokens.select(key, F.size("t").alias("dl")).write.parquet(f"{path}/lengths")
+    counted = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted.sortWithinPartitions("token").write.parquet(f"{path}/postings")
+    document_frequency(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/df")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings, and the row of corpus figures, of a written index."""
+    figures = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+    return spark.read.parquet(f"{path}/postings"), figures
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 

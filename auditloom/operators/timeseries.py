@@ -46,9 +46,10 @@ def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:
     return hit.select(*by, F.round(value, 4).alias("value"))
 
 
-def dense_hours(counts: DataFrame, first_us: int, hours: int, *by: str) -> DataFrame:
-    """Every label with every hour of a span; hours without events count 0."""
-    grid = counts.select(*by).distinct().withColumn("slot_us", F.explode(F.sequence(F.lit(first_us), F.lit(first_us + (hours - 1) * HOUR), F.lit(HOUR))))
+def dense_hours(counts: DataFrame, *by: str) -> DataFrame:
+    """Every label with every hour between the first and the last of the table; hours without events count 0."""
+    span = counts.agg(F.min("slot_us").alias("lo"), F.max("slot_us").alias("hi")).where("lo IS NOT NULL")
+    grid = counts.select(*by).distinct().crossJoin(F.broadcast(span)).select(*by, F.explode(F.sequence("lo", "hi", F.lit(HOUR))).alias("slot_us"))
     return grid.join(counts, [*by, "slot_us"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -71,3 +72,11 @@ def lasting(flags: DataFrame, width_us: int, at_least: int, *by: str) -> DataFra
     w = Window.partitionBy(*by).orderBy("slot_us")
     x = flags.where("firing").withColumn("k", F.col("slot_us") - F.row_number().over(w) * F.lit(width_us))
     return x.groupBy(*by, "k").agg(F.min("slot_us").alias("from_us"), F.max("slot_us").alias("to_us"), F.count(F.lit(1)).alias("slots")).where(F.col("slots") >= at_least).drop("k")
+
+
+def against_global(df: DataFrame, value: str, factor: float, *by: str) -> DataFrame:
+    """Labels whose mean exceeds ``factor`` times the mean of all; sums are folded once, the global one is a row."""
+    parts = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    whole = df.agg(F.avg(value).alias("g"))
+    mean = F.try_divide("s", "n")
+    return parts.crossJoin(F.broadcast(whole)).where(mean > F.col("g") * factor).select(*by, "n", F.round(mean, 6).alias("mean"), F.round("g", 6).alias("global_mean"))

@@ -80,8 +80,9 @@ QUERIES = {
     "topk_tools": lambda s, d: c(s, d).groupBy("tool").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "tool").limit(10),
     "error_rate": _errors,
     "alert_spike": lambda s, d: TS.spikes(_hourly(s, d, "client_id").where("client_id IS NOT NULL"), 3.0, "client_id"),
-    "alert_drift": lambda s, d: TS.drift(TS.dense_hours(_hourly(s, d, "tool"), FIRST, 720, "tool"), 24, 4.0, "tool"),
+    "alert_drift": lambda s, d: TS.drift(TS.dense_hours(_hourly(s, d, "tool"), "tool"), 24, 4.0, "tool"),
     "alert_imbalance": _imbalance,
+    "avg_vs_global": lambda s, d: TS.against_global(c(s, d), "anomaly_score", 1.2, "tool"),
     "alert_for_duration": _lasting,
     "event_rates": lambda s, d: table(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.unix_micros(F.col("h").cast("timestamp")).alias("slot_us"), "n", "total"),
 }
@@ -135,10 +136,11 @@ ORACLES = {
     "topk_tools": W + "SELECT tool, count(*) AS n FROM calls GROUP BY 1 ORDER BY n DESC, tool LIMIT 10",
     "error_rate": W + "SELECT tool, count(*) AS n, round(count(*) FILTER (state = 'error') * 100.0::DOUBLE / count(*), 6) AS error_percent FROM calls GROUP BY 1",
     "alert_spike": W + ", " + _HOURLY.format(by="client_id") + " SELECT a.client_id, a.slot_us, a.n, b.n AS before FROM hourly a JOIN hourly b ON a.client_id = b.client_id AND b.slot_us = a.slot_us - 3600000000 WHERE a.n > b.n * 3",
-    "alert_drift": W + ", " + _HOURLY.format(by="tool") + f""", grid AS (SELECT DISTINCT tool, {FIRST} + k * 3600000000 AS slot_us FROM hourly, range(0, 720) t(k)),
+    "alert_drift": W + ", " + _HOURLY.format(by="tool") + """, grid AS (SELECT tool, slot_us FROM (SELECT DISTINCT tool FROM hourly), (SELECT unnest(range(min(slot_us), max(slot_us) + 1, 3600000000)) AS slot_us FROM hourly)),
 dense AS (SELECT tool, slot_us, coalesce(n, 0) AS n FROM grid LEFT JOIN hourly USING (tool, slot_us)),
 m AS (SELECT *, avg(n) OVER w AS mean, count(n) OVER w AS k FROM dense WINDOW w AS (PARTITION BY tool ORDER BY slot_us ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT tool, slot_us, n, round(mean, 6) AS mean FROM m WHERE k = 24 AND n > mean * 4 AND n > 0""",
+    "avg_vs_global": W + "SELECT tool, n, round(a, 6) AS mean, round(g, 6) AS global_mean FROM (SELECT tool, count(anomaly_score) AS n, avg(anomaly_score) AS a FROM calls GROUP BY 1), (SELECT avg(anomaly_score) AS g FROM calls) WHERE a > g * 1.2",
     "alert_imbalance": W + "SELECT round(max(a) - min(a), 6) AS spread, count(a) AS n_clients FROM (SELECT client_id, avg(anomaly_score) AS a FROM calls GROUP BY 1)",
     "alert_for_duration": W + """, f AS (SELECT us // 3600000000 * 3600000000 AS slot_us FROM calls WHERE us IS NOT NULL GROUP BY 1 HAVING avg(duration_ms) > 120)
 SELECT min(slot_us) AS from_us, max(slot_us) AS to_us, count(*) AS slots FROM (SELECT slot_us, slot_us - row_number() OVER (ORDER BY slot_us) * 3600000000 AS k FROM f) GROUP BY k HAVING count(*) >= 3""",

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from auditloom.operators import event_features
 from auditloom.streaming import sessions
 from auditloom.tables import table
 
 def _types_long(spark, d):
     logs, tools = table(spark, d, "audit_logs"), table(spark, d, "tool_intents")
-    names = event_features.type_dictionary(tools)
-    counts = event_features.sparse_counts(logs, tools)
-    return counts.select("user_id", F.element_at(F.array(*map(F.lit, names)), F.col("idx") + 1).alias("type"), "n", "ms", "anomalies", "last_us")
+    return event_features.sparse_counts(logs, tools).drop("idx")
 
 
 QUERIES = {

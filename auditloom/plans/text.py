@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import sanitize as S
 from auditloom.operators import retrieval as R
+from auditloom.operators import validation as V
+from auditloom.plans.audit import CALLS, c
+from auditloom.session import staging_path
 from auditloom.tables import table
 
 EVERY = 50  # searches take the rows whose id is divisible by this as queries
@@ -28,7 +31,10 @@ def questions(s, d):
 
 
 def bm25_hits(s, d, k):
-    return R.bm25(index(s, d), R.corpus(docs(s, d), "text"), questions(s, d), "doc_id", k)
+    """Over an index that is written once and read back."""
+    path = staging_path(s, "index")
+    R.write_index(docs(s, d), "doc_id", "text", path)
+    return R.bm25(*R.read_index(s, path), questions(s, d), "doc_id", k)
 
 
 def vectors(s, d):
@@ -69,6 +75,19 @@ def _enriched(s, d):
     return bm25_hits(s, d, 5).join(docs(s, d), "doc_id").select("query_id", "rank", "doc_id", "repo", "title")
 
 
+# Line beginnings that define or import in Python sources.
+DEFINITIONS = {"functions": r"^\s*(?:async\s+)?def\s+\w+", "classes": r"^\s*class\s+\w+", "imports": r"^\s*(?:import|from)\s+[\w.]+"}
+
+
+def _definition_counts(s, d):
+    lines = chunks(s, d).where("lower(file_path) LIKE '%.py'").select("repo", F.split("content", "\n", -1).alias("l"))
+
+    def matching(pattern):
+        return F.size(F.filter("l", lambda x: F.rlike(x, F.lit(pattern))))
+
+    return lines.groupBy("repo").agg(*[F.sum(matching(p)).alias(k) for k, p in DEFINITIONS.items()])
+
+
 def _record(s, d):
     """The audit record as it is stored: sanitised and cut input, hash of the raw output."""
     t = table(s, d, "audit_logs")
@@ -80,6 +99,10 @@ QUERIES = {
     "detect_rules_output": lambda s, d: _outputs(s, d).select("id", S.detected(F.col("text")).alias("rules")),
     "scan_counts": lambda s, d: chunks(s, d).select("chunk_id", *[S.match_count(F.col("content"), r.pattern).cast("bigint").alias(r.name) for r in S.RULES]),
     "scan_secrets": lambda s, d: chunks(s, d).select("chunk_id", *[S.match_count(F.col("content"), r.pattern).cast("bigint").alias(r.name) for r in S.SCANNER]),
+    "has_secrets": lambda s, d: chunks(s, d).select("chunk_id", S.has_secrets(F.col("content")).alias("has_secrets")),
+    "scan_spans": lambda s, d: chunks(s, d).select("chunk_id", F.explode(S.spans(F.col("content"))).alias("x")).select("chunk_id", "x.rule", "x.start", "x.match"),
+    "invalid_calls": lambda s, d: V.invalid(c(s, d), "id", V.CALL_CHECKS),
+    "invalid_chunks": lambda s, d: V.invalid(chunks(s, d), "chunk_id", V.CHUNK_CHECKS),
     "redact_rules": lambda s, d: chunks(s, d).select("chunk_id", S.applied(F.col("content"), [r for r in S.RULES if r.action == "redact"]).alias("content")),
     "hash_matches": lambda s, d: _outputs(s, d).select("id", S.hashed(F.col("text"), S.RULES[6].pattern).alias("text")),
     "mask_cards": lambda s, d: _outputs(s, d).select("id", S.masked(F.col("text"), S.RULES[8].pattern).alias("text")),
@@ -91,6 +114,10 @@ QUERIES = {
     "tokenize": lambda s, d: chunks(s, d).select("chunk_id", F.array_join(R.code_tokens(F.col("content")), " ").alias("tokens")),
     "searchable_text": lambda s, d: chunks(s, d).select("chunk_id", F.md5(R.searchable(F.col("chunk_type"), F.col("name"), F.col("docstring"), F.col("content"))).alias("md5")),
     "chunk_lines": lambda s, d: R.line_chunks(chunks(s, d), "chunk_id", "content"),
+    "chunk_split": lambda s, d: R.split_large(chunks(s, d), "chunk_id", "content", "start_line", "name"),
+    "definition_counts": _definition_counts,
+    "expand_query": lambda s, d: table(s, d, "tool_requests").where("user_stated_intent IS NOT NULL").select("req_id", R.expanded(F.col("user_stated_intent")).alias("query")),
+    "fenced_json": lambda s, d: docs(s, d).select("doc_id", R.fenced(F.col("text")).alias("body")),
     "chunk_tokens": lambda s, d: R.token_chunks(docs(s, d), "doc_id", "text", 100),
     "read_head_lines": lambda s, d: chunks(s, d).select("chunk_id", F.size(F.split("content", "\n", -1)).alias("n_lines"), F.array_join(F.slice(F.split("content", "\n", -1), 1, 10), "\n").alias("head")),
     "grep_lines": lambda s, d: chunks(s, d).select("chunk_id", F.posexplode(F.split("content", "\n", -1)).alias("k", "line")).where(F.rlike("line", F.lit("(?i)\\bpassword\\b"))).select("chunk_id", (F.col("k") + 1).alias("line_no"), F.substring(F.trim("line"), 1, 200).alias("line")),
@@ -154,7 +181,22 @@ def _sql_steps(column: str, table_name: str, key: str) -> str:
 
 _DETECT = "concat_ws(','," + ", ".join(f"CASE WHEN regexp_matches({{0}}, '{r.pattern}') THEN '{r.name}' END" for r in S.RULES).replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + ")"
 
+_SPANS = " UNION ALL ".join(
+    f"SELECT chunk_id, '{r.name}' AS rule, coalesce(list_sum(list_transform(b[1:k], lambda x: length(x))), 0)::INT + coalesce(list_sum(list_transform(f[1:k-1], lambda x: length(x))), 0)::INT AS start, f[k] AS match"
+    f" FROM (SELECT chunk_id, regexp_extract_all(content, '{r.pattern}') AS f, regexp_split_to_array(content, '{r.pattern}') AS b FROM code_chunks), unnest(range(1, len(f) + 1)) AS t(k)"
+    for r in S.SCANNER
+)
+
 ORACLES = {
+    "has_secrets": "SELECT chunk_id, coalesce(" + " OR ".join(f"regexp_matches(content, '{r.pattern}')" for r in S.SCANNER) + ", false) AS has_secrets FROM code_chunks",
+    "scan_spans": _SPANS,
+    "invalid_calls": f"WITH {CALLS}, e AS (SELECT id, {V.sql_errors(V.CALL_CHECKS)} AS errors FROM calls) SELECT * FROM e WHERE errors <> ''",
+    "invalid_chunks": f"WITH e AS (SELECT chunk_id, {V.sql_errors(V.CHUNK_CHECKS)} AS errors FROM code_chunks) SELECT * FROM e WHERE errors <> ''",
+    "chunk_split": f"""WITH l AS (SELECT chunk_id, coalesce(start_line, 1) AS first, name, {_LINES.format('content')} AS l FROM code_chunks WHERE length(content) > 1500)
+SELECT chunk_id, s // 27 + 1 AS part, name || '_part' || (s // 27 + 1) AS name, first + s AS start_line, first + least(s + 30, len(l)) - 1 AS end_line, array_to_string(l[s + 1 : s + 30], chr(10)) AS content FROM l, unnest(range(0, len(l), 27)) AS t(s)""",
+    "definition_counts": "SELECT repo, " + ", ".join(f"sum(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '{p}'))))::BIGINT AS {k}" for k, p in DEFINITIONS.items()) + " FROM code_chunks WHERE lower(file_path) LIKE '%.py' GROUP BY 1",
+    "expand_query": "SELECT req_id, user_stated_intent || " + " || ".join(f"CASE WHEN contains(lower(user_stated_intent), '{t}') THEN ' {w}' ELSE '' END" for t, w in R.SYNONYMS.items()) + " AS query FROM tool_requests WHERE user_stated_intent IS NOT NULL",
+    "fenced_json": "SELECT doc_id, trim(CASE WHEN regexp_matches(text, '" + R.FENCED + "') THEN regexp_extract(text, '" + R.FENCED + "', 1) ELSE text END, ' ') AS body FROM documents",
     "detect_rules": f"SELECT chunk_id, {_DETECT.format('content')} AS rules FROM code_chunks",
     "detect_rules_output": f"SELECT id, {_DETECT.format('tool_output_sanitized')} AS rules FROM audit_logs",
     "scan_counts": "SELECT chunk_id, " + ", ".join(f"coalesce(len(regexp_extract_all(content, '{r.pattern}')), 0) AS {r.name}" for r in S.RULES) + " FROM code_chunks",

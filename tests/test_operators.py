@@ -99,7 +99,43 @@ def test_nested_json(spark):
     deep = "[" * 15 + '"x"' + "]" * 15
     df = spark.createDataFrame([(1, '{"a": [{"b": "SSN 123-45-6789"}], "n": 3}'), (2, "broken { 123-45-6789"), (3, None), (4, deep)], "id bigint, t string")
     out = {r.id: r.text for r in sanitize_json(df, "id", "t", [(S.RULES[7].pattern, "[SSN]")]).collect()}
-    assert out[1] == '{"a": [{"b": "SSN [SSN]"}], "n": 3}' and out[2] == "broken { [SSN]" and out[3] is None and "MAX_DEPTH" in out[4]
+    assert out[1] == '{"a": [{"b": "SSN [SSN]"}], "n": 3}' and out[2] == "broken { [SSN]" and out[3] is None and out[4] == deep
+    rules = [(S.RULES[7].pattern, "[SSN]")]
+    deeper = "[" * 60_000 + '{"k 123-45-6789": "t\\u0041 123-45-6789"}' + "]" * 60_000
+    rows = [(5, deeper), (6, '"123-45-6789"'), (7, '{"a":"x\\"123-45-6789", "b":   1e5}'), (8, "")]
+    out = {r.id: r.text for r in sanitize_json(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", rules).collect()}
+    assert out[5] == deeper.replace("t\\u0041 123-45-6789", "tA [SSN]") and out[6] == '"[SSN]"' and out[7] == '{"a":"x\\"[SSN]", "b":   1e5}' and out[8] == ""
+
+
+def test_json_sanitising_equals_a_tree_walk(spark):
+    """Every given row against a recursive walk over the parsed value."""
+    import json
+
+    from conftest import SMALL
+
+    rules = [(r.pattern, r.marker or "[X]") for r in S.RULES]
+
+    def walk(v):
+        if isinstance(v, dict):
+            return {k: walk(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        if isinstance(v, str):
+            for p, m in rules:
+                v = re.sub(p, m, v)
+        return v
+
+    df = spark.read.parquet(f"{SMALL}/audit_logs.parquet")
+    given = {r.id: r.tool_input for r in df.collect()}
+    seen = 0
+    for r in sanitize_json(df, "id", "tool_input", rules).collect():
+        try:
+            want = walk(json.loads(given[r.id]))
+        except (ValueError, TypeError):
+            continue
+        assert json.loads(r.text) == want
+        seen += 1
+    assert seen > 100
 
 
 def test_definitions(spark):

@@ -82,7 +82,7 @@ CALLS = [
 def test_feature_table(spark):
     df = E.feature_table(audit_rows(spark, CALLS), tools(spark))
     names = E.type_dictionary(tools(spark))
-    assert names[-1] == "other" and len(df.columns) == 1 + 4 * len(names)
+    assert names[0] == "other" and len(df.columns) == 1 + 4 * len(names)
     rows = {r.user_id: r.asDict() for r in df.collect()}
     a, none = rows["a"], rows[None]
     assert a["n__read_file__success"] == 1 and a["ms__read_file__success"] == 5 and a["anomalies__read_file__success"] == 1 and a["last_us__read_file__success"] == T0
@@ -91,6 +91,14 @@ def test_feature_table(spark):
     assert none["n__other"] == 1 and none["ms__other"] == 2
 
 
+def test_types_by_broadcast_and_by_shuffle(spark):
+    logs = audit_rows(spark, CALLS)
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(E.sparse_counts(logs, tools(spark), max_broadcast=1)) == as_rows(E.sparse_counts(logs, tools(spark)))
+    index = {r.type: r.idx for r in E.type_index(tools(spark)).collect()}
+    assert sorted(index.values()) == list(range(1, len(index) + 1))
+
+
 def test_vectors_merge(spark):
     logs = audit_rows(spark, CALLS)
     whole = E.sparse_vectors(E.sparse_counts(logs, tools(spark)))
