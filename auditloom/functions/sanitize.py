@@ -83,12 +83,14 @@ def has_secrets(text: Column, rules=SCANNER) -> Column:
 def spans(text: Column, rules=SCANNER) -> Column:
     """rule, start (characters, from 0) and match of every match: between two matches lies what a split by the pattern leaves, so the lengths
     of both give exact offsets."""
-    per_rule = []
-    for r in rules:
+    def length(xs, n):
+        return F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
+
+    def of(r: Rule):
         found, between = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), F.split(text, r.pattern, -1)
-        length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
-        per_rule.append(F.transform(found, lambda m, i, r=r, b=between, f=found: F.struct(F.lit(r.name).alias("rule"), (length(b, i + 1) + length(f, i)).alias("start"), m.alias("match"))))
-    return F.flatten(F.array(*per_rule))
+        return F.transform(found, lambda m, i: F.struct(F.lit(r.name).alias("rule"), (length(between, i + 1) + length(found, i)).alias("start"), m.alias("match")))
+
+    return F.flatten(F.array(*[of(r) for r in rules]))
 
 
 def detected(text: Column, rules=RULES) -> Column:
