@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 K1, B = 1.5, 0.75
 RRF_K, W_TEXT, W_VECTOR = 60, 0.4, 0.6
 QUERY_BLOCK = 4096
+MAX_BROADCAST = 1_000_000  # query tokens; both sides of the switch give the same result
 
 
 def code_tokens(text: Column) -> Column:
@@ -92,20 +93,20 @@ def corpus(docs: DataFrame, text: str) -> DataFrame:
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Tokenise once and write the index: lengths of all documents, postings sorted by token, and document frequencies."""
+    """Tokenise once and write the index: lengths of all documents, postings with those of a document together, and document frequencies."""
     spark = docs.sparkSession
     docs.select(key, code_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     tokens.select(key, F.size("t").alias("dl")).write.parquet(f"{path}/lengths")
-    counted = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    counted.sortWithinPartitions("token").write.parquet(f"{path}/postings")
+    together = tokens.select(key, F.size("t").alias("dl"), "t").repartition(key)
+    together.select(key, "dl", F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf")).write.parquet(f"{path}/postings")
     document_frequency(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/df")
 
 
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings, and the row of corpus figures, of a written index."""
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, the row of corpus figures, and document frequencies of a written index."""
     figures = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
-    return spark.read.parquet(f"{path}/postings"), figures
+    return spark.read.parquet(f"{path}/postings"), figures, spark.read.parquet(f"{path}/df")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -116,17 +117,20 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(index: DataFrame, figures: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+def bm25(index: DataFrame, figures: DataFrame, queries: DataFrame, key: str, k: int, frequencies: DataFrame | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """query_id, key, score, rank: the k best documents of each query, ties by key.
 
-    Query tokens keep their multiplicity. Only tokens that some query holds are joined; the frequent tokens' long posting
-    lists are split over tasks by adaptive skew handling, and scores are summed map-side before the shuffle by (query, document)."""
+    Query tokens keep their multiplicity and meet the document frequencies first, so that a posting is multiplied only once. Up to
+    ``max_broadcast`` query tokens are broadcast: then postings are not shuffled at all, and as those of a document lie together, its scores are
+    summed before the shuffle by (query, document). Beyond it both sides are shuffled by token, long posting lists being split by adaptive skew handling."""
     terms = queries.select("query_id", F.explode(code_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qn"))
-    wanted = index.join(terms.select("token").distinct(), "token", "left_semi")
-    weights = document_frequency(wanted).crossJoin(F.broadcast(figures)).select("token", "avg_dl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    counts = frequencies if frequencies is not None else document_frequency(index.join(terms.select("token").distinct(), "token", "left_semi"))
+    weighted = terms.join(counts, "token").crossJoin(F.broadcast(figures)).select("query_id", "token", (F.col("qn") * idf(F.col("n_docs"), F.col("df")) * (K1 + 1)).alias("w"), "avg_dl")
+    if terms.limit(max_broadcast + 1).count() <= max_broadcast:
+        weighted = F.broadcast(weighted)
     tf = F.col("tf")
-    part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = terms.join(weights, "token").join(wanted, "token").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    part = F.col("w") * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    scored = index.join(weighted, "token").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, k, key)
 
 

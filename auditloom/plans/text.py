@@ -34,7 +34,8 @@ def bm25_hits(s, d, k):
     """Over an index that is written once and read back."""
     path = staging_path(s, "index")
     R.write_index(docs(s, d), "doc_id", "text", path)
-    return R.bm25(*R.read_index(s, path), questions(s, d), "doc_id", k)
+    postings, figures, frequencies = R.read_index(s, path)
+    return R.bm25(postings, figures, questions(s, d), "doc_id", k, frequencies)
 
 
 def vectors(s, d):

@@ -206,3 +206,18 @@ def test_sources_round_trip(spark, tmp_path):
     files.write_json_lines(calls, str(tmp_path / "j"))
     files.write_csv(calls, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.csv(str(tmp_path / "c"), header=True).count() == calls.count()
+
+
+def test_written_index_and_both_joins(spark, tmp_path):
+    from auditloom.operators import retrieval as R
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 40)))) for i in range(120)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    R.write_index(docs, "doc_id", "text", str(tmp_path / "index"))
+    postings, figures, frequencies = R.read_index(spark, str(tmp_path / "index"))
+    assert figures.first().n_docs == 122 and postings.count() == R.postings(docs, "doc_id", "text").count()
+    queries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    as_rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    one = as_rows(R.bm25(postings, figures, queries, "doc_id", 5, frequencies))
+    assert one and one == as_rows(R.bm25(postings, figures, queries, "doc_id", 5, frequencies, max_broadcast=1)) == as_rows(R.bm25(R.postings(docs, "doc_id", "text"), R.corpus(docs, "text"), queries, "doc_id", 5))
