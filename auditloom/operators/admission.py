@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.windows import numbered
+from auditloom.operators.windows import running
 from auditloom.tables import canonical
 
 DAY = 86_400_000_000
@@ -50,13 +50,15 @@ def quotas(calls: DataFrame, user_quotas: DataFrame) -> DataFrame:
 def usage(calls: DataFrame) -> DataFrame:
     """id and the number of prior calls of the user within a minute, an hour and a day.
 
-    Positions come from ``numbered``; a call and the day before it share two day buckets, so windows run per user
-    and day with the day before as halo."""
-    n = numbered(calls.where("us IS NOT NULL").select("user_id", "id", "us"), "user_id", "us", "id")
-    day = F.floor(F.col("us") / DAY).cast("bigint")
-    both = n.withColumn("day", F.explode(F.array(day, day + 1))).withColumn("own", F.col("day") == day)
-    counts = {c: F.col("pos") - F.min("pos").over(Window.partitionBy("user_id", "day").orderBy("us").rangeBetween(-(w - 1), 0)) for c, w in HORIZONS.items()}
-    return both.withColumns(counts).where("own").select("id", *HORIZONS)
+    Every call also asks, for each width, how many calls lie before the window's begin; questions and calls are counted together by
+    ``running``, so no window of a day is ever one task's."""
+    c = calls.where("us IS NOT NULL").select("user_id", "id", "us")
+    marks = [F.struct(F.lit("call").alias("mark"), F.col("us").alias("at")), *[F.struct(F.lit(n).alias("mark"), (F.col("us") - (w - 1)).alias("at")) for n, w in HORIZONS.items()]]
+    asked = c.select("user_id", "id", "us", F.explode(F.array(*marks)).alias("m")).select("user_id", "id", "us", "m.mark", "m.at")
+    is_call = F.col("mark") == "call"
+    counted = running(asked, "user_id", "at", ["at", is_call, "id"], is_call)
+    at = lambda m: F.max(F.when(F.col("mark") == m, F.col("pos")))
+    return counted.groupBy("user_id", "id", "us").agg(*[(at("call") - at(n)).alias(n) for n in HORIZONS]).select("id", *HORIZONS)
 
 
 def requests_with_outcome(requests: DataFrame, calls: DataFrame, intents: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Per-entity sequences that survive hot entities.
 
 A window partitioned by entity puts all rows of an entity into one task. ``in_blocks`` numbers the rows of every
-entity (counts per entity and hour first, row numbers only inside an hour) and cuts the numbering into blocks;
+entity (counts per entity and minute first, row numbers only inside a minute) and cuts the numbering into blocks;
 each block also gets the ``halo`` rows before it, so row frames and lags up to that reach are exact while an
 entity with a third of all rows is spread over many tasks.
 """
@@ -11,19 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3_600_000_000
+SLOT = 60_000_000
 BLOCK = 100_000
 HALO = 104
 
 
+def running(df: DataFrame, key: str, us: str, order: list, counted=None) -> DataFrame:
+    """Adds ``pos``: how many counted rows (all by default) of the key come before, in order of ``order``, whose first column is the time."""
+    one = F.lit(1) if counted is None else counted.cast("int")
+    x = df.withColumns({"_slot": F.floor(F.col(us) / SLOT).cast("bigint"), "_one": one})
+    per = x.groupBy(key, "_slot").agg(F.sum("_one").alias("_n"))
+    base = per.select(F.col(key).alias("_key"), F.col("_slot").alias("_s"), F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum("_one").over(Window.partitionBy(key, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = x.withColumn("_r", before).join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_s")))
+    return joined.withColumn("pos", F.col("_base") + F.col("_r")).drop("_slot", "_s", "_key", "_r", "_base", "_one")
+
+
 def numbered(df: DataFrame, key: str, us: str, tie: str) -> DataFrame:
     """Adds ``pos``: 0, 1, 2... per key in order of (us, tie)."""
-    x = df.withColumn("_hour", F.floor(F.col(us) / HOUR).cast("bigint"))
-    per = x.groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    base = per.select(F.col(key).alias("_key"), F.col("_hour").alias("_h"), F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inner = x.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_hour").orderBy(us, tie)))
-    joined = inner.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hour") == F.col("_h")))
-    return joined.withColumn("pos", F.col("_base") + F.col("_r") - 1).drop("_hour", "_h", "_key", "_r", "_base")
+    return running(df, key, us, [us, tie])
 
 
 def in_blocks(df: DataFrame, key: str, us: str, tie: str, block: int = BLOCK, halo: int = HALO) -> DataFrame:
