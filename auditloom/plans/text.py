@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import sanitize as S
 from auditloom.operators import retrieval as R
+from auditloom.operators import scoring as P
 from auditloom.operators import validation as V
 from auditloom.plans.audit import CALLS, c
-from auditloom.session import staging_path
+from auditloom.session import written
 from auditloom.tables import table
 
 EVERY = 50  # searches take the rows whose id is divisible by this as queries
@@ -31,11 +32,8 @@ def questions(s, d):
 
 
 def bm25_hits(s, d, k):
-    """Over an index that is written once and read back."""
-    path = staging_path(s, "index")
-    R.write_index(docs(s, d), "doc_id", "text", path)
-    postings, figures, frequencies = R.read_index(s, path)
-    return R.bm25(postings, figures, questions(s, d), "doc_id", k, frequencies)
+    """Over blocks of documents that are written once and read by each block of queries."""
+    return P.bm25_blocks(written(P.packed_documents(docs(s, d), "doc_id", "text"), "documents"), questions(s, d), "doc_id", k)
 
 
 def vectors(s, d):
