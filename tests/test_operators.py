@@ -241,7 +241,7 @@ def test_bm25_in_blocks_equals_the_join(spark):
     assert P.bm25_blocks(documents, queries.where("false"), "doc_id", 7).count() == P.bm25_blocks(documents.where("false"), queries, "doc_id", 7).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_search"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_search", "search_enrich"])
 def test_searches_shuffle_no_pairs(spark, name):
     """What is ranked is the best of each task, not every pair of query and document that share a token."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
